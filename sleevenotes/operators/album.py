@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.assemble import MAX_ITEMS, Child, assemble, find_hot, within
 from ..schemas import ARTIST_LIGHT_DOC, RELEASE
+from ..sources.work import written
 from .artist import (
     Catalog,
     artist_light_docs,
@@ -109,10 +110,16 @@ def album_docs(
     max_items: int | None = MAX_ITEMS,
     use_release_gid: bool = False,
 ) -> DataFrame:
-    """Album documents and ``part``. ``ids``: row ids of release groups to restrict to."""
+    """Album documents and ``part``.
+
+    ``ids``: row ids of release groups to restrict to; many scans read it, so it should be a table and not a long plan.
+    """
     base = album_base(cat, ids)
     artists = group_artists(cat, ids)
-    wanted = artists.select(F.col("artist_id").alias("id")).distinct() if ids is not None else None
+    wanted = None
+    if ids is not None:
+        artists = written(artists)
+        wanted = written(artists.select(F.col("artist_id").alias("id")).distinct())
     light = artist_light_docs(cat, wanted, max_items)
     light_doc = F.struct(*[c for c in light.columns if c not in ("row_id", "part")]).cast(
         f"struct<{ARTIST_LIGHT_DOC}>"

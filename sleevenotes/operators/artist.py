@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.assemble import MAX_ITEMS, Child, assemble, find_hot, within
 from ..schemas import ALBUM_LIGHT, IMAGE
+from ..sources.work import written
 
-Catalog = dict[str, DataFrame]
+Catalog = Mapping[str, DataFrame]
 
 
 # -- pieces shared by artists and albums ----------------------------------------------------------------------------
@@ -136,7 +139,7 @@ def group_release_date(stats: str) -> Column:
 def album_light(cat: Catalog, artist_ids: DataFrame | None = None) -> DataFrame:
     """``(artist_id, album)``: one light album per release group, with the artist it is listed under."""
     groups = led_groups(cat, artist_ids)
-    ids = groups.select("id") if artist_ids is not None else None
+    ids = written(groups.select("id")) if artist_ids is not None else None
     kinds = cat["release_group_primary_type"].select(F.col("id").alias("type"), F.col("name").alias("type_name"))
     base = groups.join(kinds, "type", "left").select(
         F.col("id").alias("row_id"),

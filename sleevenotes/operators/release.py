@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.assemble import MAX_ITEMS, Child, assemble, find_hot, list_per_key, within
 from ..schemas import MEDIUM, TRACK
+from ..sources.work import written
 from .artist import Catalog, lead_credit, redirects
 
 
@@ -123,8 +124,10 @@ def tracks_per_release(cat: Catalog, releases: DataFrame | None = None) -> DataF
 def release_docs(cat: Catalog, group_ids: DataFrame | None = None, max_items: int | None = MAX_ITEMS) -> DataFrame:
     """Release documents with the release group's row id and ``part``."""
     base = release_base(cat, group_ids)
-    restrict = base.select("row_id") if group_ids is not None else None
-    ids = restrict.withColumnRenamed("row_id", "id") if restrict is not None else None
+    ids = restrict = None
+    if group_ids is not None:
+        ids = written(base.select(F.col("row_id").alias("id")))
+        restrict = ids.withColumnRenamed("id", "row_id")
     children = {
         "Oldids": redirects(cat["release_gid_redirect"], ids),
         **release_dates(cat, ids),
@@ -132,7 +135,7 @@ def release_docs(cat: Catalog, group_ids: DataFrame | None = None, max_items: in
         "Country": release_countries(cat, ids),
         **release_media(cat, ids),
         "Tracks": Child(
-            track_rows(cat, base, max_items),
+            track_rows(cat, base if restrict is None else restrict, max_items),
             "release",
             F.col("track"),
             (F.col("track.mediumnumber"), F.col("track.trackposition"), F.col("track.id")),
