@@ -11,6 +11,7 @@ parts together are the whole lists. All other parents come out as exactly one ro
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -64,29 +65,45 @@ class Hot:
     max_items: int
 
 
-def find_hot(lengths: list[DataFrame], max_items: int | None) -> Hot | None:
-    """Parents whose longest list exceeds ``max_items``; None if there are none (the usual case).
+def find_hot(lengths: Mapping[str, list[DataFrame]], max_items: int | None) -> dict[str, Hot]:
+    """Per name, the parents whose longest list exceeds ``max_items``; names without such parents are left out.
 
-    One pass over the key columns, pre-aggregated before its shuffle. At most ``MAX_BROADCAST_KEYS + 1`` rows reach
-    the driver; beyond that the keys stay a distributed frame and are joined without a broadcast.
+    One job over the key columns for all names, pre-aggregated before its shuffle. At most ``MAX_BROADCAST_KEYS + 1``
+    rows reach the driver; beyond that the keys stay a distributed frame and are joined without a broadcast.
     """
-    if max_items is None or not lengths:
-        return None
-    tagged = [df.withColumn("_list", F.lit(i)) for i, df in enumerate(lengths)]
+    if max_items is None:
+        return {}
+    tagged = [
+        df.select(F.lit(name).alias("_name"), F.lit(i).alias("_list"), "_key", "_n")
+        for name, frames in lengths.items()
+        for i, df in enumerate(frames)
+    ]
     keys = (
         reduce(DataFrame.unionByName, tagged)
-        .groupBy("_list", "_key")
+        .groupBy("_name", "_list", "_key")
         .agg(F.sum("_n").alias("_n"))
         .filter(F.col("_n") > max_items)
-        .groupBy("_key")
+        .groupBy("_name", "_key")
         .agg(F.ceil(F.max("_n") / F.lit(max_items)).cast("int").alias("_parts"))
     )
     found = keys.limit(MAX_BROADCAST_KEYS + 1).collect()
     if not found:
-        return None
-    if len(found) <= MAX_BROADCAST_KEYS:
-        keys = F.broadcast(keys.sparkSession.createDataFrame(found, keys.schema))
-    return Hot(keys, max_items)
+        return {}
+    small = len(found) <= MAX_BROADCAST_KEYS
+    if small:
+        keys = keys.sparkSession.createDataFrame(found, keys.schema)
+
+    def of(name: str) -> Hot:
+        mine = keys.filter(F.col("_name") == name).select("_key", "_parts")
+        return Hot(F.broadcast(mine) if small else mine, max_items)
+
+    # if not all fit, any name may have some
+    return {name: of(name) for name in (lengths if not small else {r["_name"] for r in found})}
+
+
+def list_lengths(children: Mapping[str, Child], but: tuple[str, ...] = ()) -> list[DataFrame]:
+    """Lengths of the list children, for :func:`find_hot`."""
+    return [c.lengths() for name, c in children.items() if c.agg == "list" and name not in but]
 
 
 def _split(child: Child, name: str, hot: Hot) -> DataFrame:
@@ -127,7 +144,8 @@ def assemble(base: DataFrame, key: str, children: dict[str, Child], hot: Hot | N
             )
     together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     aggs = [F.min("_base").alias("_base")] + [c.aggregate(n).alias(n) for n, c in children.items()]
-    grouped = together.groupBy("_key", "_part") if hot is not None else together.groupBy("_key")
+    keys = ["_key", "_part"] if hot is not None else ["_key"]
+    grouped = together.groupBy(*keys)
     out = grouped.agg(*aggs).filter(F.col("_base").isNotNull())
     part = F.col("_part") if hot is not None else F.lit(0)
     return out.select("_base.*", *children, part.alias("part"))
@@ -140,11 +158,10 @@ def within(df: DataFrame, column: str, ids: DataFrame | None, id_column: str = "
     return df.join(ids.select(F.col(id_column).alias(column)), column, "left_semi")
 
 
-def list_per_key(child: Child, name: str, max_items: int | None = MAX_ITEMS) -> DataFrame:
+def list_per_key(child: Child, name: str, hot: Hot | None = None) -> DataFrame:
     """``(<parent>, <name>)``: one list per key; several rows for a hot key, each with a share of its list."""
-    hot = find_hot([child.lengths()], max_items)
     if hot is None:
-        rows = child.rows.select(F.col(child.parent).alias("_key"), F.lit(0).alias("_part"), child.entry().alias(name))
+        rows = child.rows.select(F.col(child.parent).alias("_key"), child.entry().alias(name))
         grouped = rows.groupBy("_key")
     else:
         grouped = _split(child, name, hot).groupBy("_key", "_part")

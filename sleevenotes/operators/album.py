@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.assemble import MAX_ITEMS, Child, assemble, find_hot, within
+from ..functions.assemble import MAX_ITEMS, Child, Hot, assemble, find_hot, list_lengths, within
 from ..schemas import ARTIST_LIGHT_DOC, RELEASE
 from ..sources.work import written
 from .artist import (
     Catalog,
     artist_light_docs,
+    artist_lists,
     genres,
     group_release_date,
     lead_credit,
@@ -21,7 +24,7 @@ from .artist import (
     redirects,
     secondary_types,
 )
-from .release import release_docs, tracks_per_release
+from .release import release_docs, release_lists, tracks_per_release
 
 
 def album_base(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
@@ -96,12 +99,14 @@ def images(release_id: Column, use_release_gid: bool = False) -> Column:
     return F.filter(F.array(one("Cover", "front"), one("Disc", "medium")), lambda i: i.isNotNull())
 
 
-def releases_per_group(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
-    """``(release_group, n)``: upper bound of the tracks and releases nested in each group."""
-    releases = within(cat["release"].select("id", "release_group"), "release_group", ids)
-    tracks = tracks_per_release(cat, None).withColumnRenamed("release", "id")
-    on_tracks = tracks.join(releases, "id").select("release_group", "n")
-    return on_tracks.unionByName(releases.select("release_group", F.lit(1).cast("long").alias("n")))
+def track_counts(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
+    """``(release, release_group, n)``: per release one row, with an upper bound of its tracks plus one for itself."""
+    releases = within(cat["release"].select(F.col("id").alias("release"), "release_group"), "release_group", ids)
+    kept = releases.select(F.col("release").alias("row_id")) if ids is not None else None
+    tracks = tracks_per_release(cat, kept).groupBy("release").agg(F.sum("n").alias("n"))
+    return releases.join(tracks, "release", "left").select(
+        "release", "release_group", (F.coalesce("n", F.lit(0)) + F.lit(1)).alias("n")
+    )
 
 
 def album_docs(
@@ -116,41 +121,49 @@ def album_docs(
     """
     base = album_base(cat, ids)
     artists = group_artists(cat, ids)
-    wanted = None
+    wanted = release_ids = None
     if ids is not None:
         artists = written(artists)
         wanted = written(artists.select(F.col("artist_id").alias("id")).distinct())
-    light = artist_light_docs(cat, wanted, max_items)
-    light_doc = F.struct(*[c for c in light.columns if c not in ("row_id", "part")]).cast(
-        f"struct<{ARTIST_LIGHT_DOC}>"
-    )
-    embedded = artists.select("release_group", F.col("artist_id").alias("row_id")).join(
-        light.select("row_id", light_doc.alias("artist")), "row_id"
-    )
-    releases = release_docs(cat, ids, max_items)
-    release = F.struct(*[c for c in releases.columns if c not in ("row_id", "release_group", "part")]).cast(RELEASE)
-    sizes = releases_per_group(cat, ids)
+        release_ids = written(within(cat["release"].select("id", "release_group"), "release_group", ids).select("id"))
     children = {
         "oldids": redirects(cat["release_group_gid_redirect"], ids),
         "aliases": album_aliases(cat, ids),
         "secondarytypes": secondary_types(cat, ids),
         "meta": meta(cat["release_group_meta"], ids),
-        "artistids": Child(artists, "release_group", F.col("artist_gid"), sizes=sizes),
         "links": links(cat["l_release_group_url"], cat, ids),
         "genres": genres(cat["release_group_tag"], "release_group", cat, ids),
         **front_images(cat, ids),
+    }
+    hot: Mapping[str, Hot] = {}
+    if max_items is not None:
+        counts = written(track_counts(cat, ids))
+        hot = find_hot(
+            {
+                "release_group": [*list_lengths(children), counts.select("release_group", "n").toDF("_key", "_n")],
+                "artist": list_lengths(artist_lists(cat, wanted)),
+                **release_lists(cat, release_ids, counts.select("release", "n"))[1],
+            },
+            max_items,
+        )
+    light = artist_light_docs(cat, wanted, max_items, hot)
+    light_doc = F.struct(*[c for c in light.columns if c not in ("row_id", "part")]).cast(f"struct<{ARTIST_LIGHT_DOC}>")
+    embedded = artists.select("release_group", F.col("artist_id").alias("row_id")).join(
+        light.select("row_id", light_doc.alias("artist")), "row_id"
+    )
+    releases = release_docs(cat, ids, max_items, release_ids, hot)
+    release = F.struct(*[c for c in releases.columns if c not in ("row_id", "release_group", "part")]).cast(RELEASE)
+    children |= {
+        "artistids": Child(artists, "release_group", F.col("artist_gid")),
+        "artists": Child(embedded, "release_group", F.col("artist"), (F.col("artist.id"),)),
         "Releases": Child(
             releases.select("release_group", release.alias("release")),
             "release_group",
             F.col("release"),
             (F.col("release.Id"),),
-            sizes=sizes,
         ),
-        "artists": Child(embedded, "release_group", F.col("artist"), (F.col("artist.id"),), sizes=sizes),
     }
-    once = [n for n, c in children.items() if c.agg == "list" and n not in ("artistids", "artists")]
-    hot = find_hot([children[n].lengths() for n in once], max_items)
-    docs = assemble(base, "row_id", children, hot)
+    docs = assemble(base, "row_id", children, hot.get("release_group"))
     return docs.select(
         "id",
         "oldids",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.assemble import MAX_ITEMS, Child, assemble, find_hot, within
+from ..functions.assemble import MAX_ITEMS, Child, Hot, assemble, find_hot, list_lengths, within
 from ..schemas import ALBUM_LIGHT, IMAGE
 from ..sources.work import written
 
@@ -99,11 +99,17 @@ def artist_lists(cat: Catalog, ids: DataFrame | None = None) -> dict[str, Child]
     }
 
 
-def artist_light_docs(cat: Catalog, ids: DataFrame | None = None, max_items: int | None = MAX_ITEMS) -> DataFrame:
-    """Artist documents without albums, with the row id and ``part``."""
+def artist_light_docs(
+    cat: Catalog,
+    ids: DataFrame | None = None,
+    max_items: int | None = MAX_ITEMS,
+    hot: Mapping[str, Hot] | None = None,
+) -> DataFrame:
+    """Artist documents without albums, with the row id and ``part``. ``hot``: findings of the caller, if it has any."""
     children = artist_lists(cat, ids)
-    hot = find_hot([c.lengths() for c in children.values() if c.agg == "list"], max_items)
-    docs = assemble(artist_base(cat, ids), "row_id", children, hot)
+    if hot is None:
+        hot = find_hot({"artist": list_lengths(children)}, max_items)
+    docs = assemble(artist_base(cat, ids), "row_id", children, hot.get("artist"))
     return docs.select(
         "row_id", *_light_columns(), "genres", empty(IMAGE).alias("images"), empty("string").alias("albums"), "part"
     )
@@ -189,6 +195,6 @@ def artist_docs(cat: Catalog, ids: DataFrame | None = None, max_items: int | Non
     children["albums"] = Child(
         album_light(cat, ids), "artist_id", F.col("album"), (F.col("album.id"),), sizes=sizes
     )
-    hot = find_hot([c.lengths() for c in children.values() if c.agg == "list"], max_items)
-    docs = assemble(artist_base(cat, ids), "row_id", children, hot)
+    hot = find_hot({"artist": list_lengths(children)}, max_items)
+    docs = assemble(artist_base(cat, ids), "row_id", children, hot.get("artist"))
     return docs.select(*_light_columns(), "albums", empty(IMAGE).alias("images"), "genres", "part")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.assemble import MAX_ITEMS, Child, assemble, find_hot, list_per_key, within
+from ..functions.assemble import MAX_ITEMS, Child, Hot, assemble, find_hot, list_lengths, list_per_key, within
 from ..schemas import MEDIUM, TRACK
 from ..sources.work import written
 from .artist import Catalog, lead_credit, redirects
@@ -67,7 +69,9 @@ def release_media(cat: Catalog, ids: DataFrame | None = None) -> dict[str, Child
     }
 
 
-def track_rows(cat: Catalog, releases: DataFrame | None = None, max_items: int | None = MAX_ITEMS) -> DataFrame:
+def track_rows(
+    cat: Catalog, releases: DataFrame | None = None, hot: Mapping[str, Hot] | None = None
+) -> DataFrame:
     """``(release, track)``: audio tracks with medium, lead artist, recording and former ids.
 
     ``releases``: frame with the ids (``row_id``) of the releases to keep; applied to media before the track scan's
@@ -76,8 +80,8 @@ def track_rows(cat: Catalog, releases: DataFrame | None = None, max_items: int |
     media = cat["medium"].select(F.col("id").alias("medium"), "release", F.col("position").alias("mediumnumber"))
     if releases is not None:
         media = within(media, "release", releases, "row_id")
-    old_tracks = list_per_key(redirects(cat["track_gid_redirect"]), "oldids", max_items)
-    old_recordings = list_per_key(redirects(cat["recording_gid_redirect"]), "oldrecordingids", max_items)
+    old_tracks = list_per_key(redirects(cat["track_gid_redirect"]), "oldids", (hot or {}).get("track"))
+    old_recordings = list_per_key(redirects(cat["recording_gid_redirect"]), "oldrecordingids", (hot or {}).get("recording"))
     recordings = (
         cat["recording"]
         .filter("video = false")
@@ -121,29 +125,56 @@ def tracks_per_release(cat: Catalog, releases: DataFrame | None = None) -> DataF
     return counts.join(media, "medium").select("release", "n")
 
 
-def release_docs(cat: Catalog, group_ids: DataFrame | None = None, max_items: int | None = MAX_ITEMS) -> DataFrame:
-    """Release documents with the release group's row id and ``part``."""
-    base = release_base(cat, group_ids)
-    ids = restrict = None
-    if group_ids is not None:
-        ids = written(base.select(F.col("row_id").alias("id")))
-        restrict = ids.withColumnRenamed("id", "row_id")
+def release_lists(
+    cat: Catalog, ids: DataFrame | None = None, sizes: DataFrame | None = None
+) -> tuple[dict[str, Child], dict[str, list[DataFrame]]]:
+    """The lists of releases except their tracks, and the lengths of all lists of releases, tracks and recordings.
+
+    ``sizes``: ``(release, n)``, tracks per release, if the caller has them.
+    """
     children = {
         "Oldids": redirects(cat["release_gid_redirect"], ids),
         **release_dates(cat, ids),
         "Label": release_labels(cat, ids),
         "Country": release_countries(cat, ids),
         **release_media(cat, ids),
-        "Tracks": Child(
-            track_rows(cat, base if restrict is None else restrict, max_items),
-            "release",
-            F.col("track"),
-            (F.col("track.mediumnumber"), F.col("track.trackposition"), F.col("track.id")),
-            sizes=tracks_per_release(cat, restrict),
-        ),
     }
-    hot = find_hot([c.lengths() for c in children.values() if c.agg == "list"], max_items)
-    docs = assemble(base, "row_id", children, hot)
+    if sizes is None:
+        sizes = tracks_per_release(cat, ids.select(F.col("id").alias("row_id")) if ids is not None else None)
+    lengths = {
+        "release": [*list_lengths(children), sizes.toDF("_key", "_n")],
+        "track": [redirects(cat["track_gid_redirect"]).lengths()],
+        "recording": [redirects(cat["recording_gid_redirect"]).lengths()],
+    }
+    return children, lengths
+
+
+def release_docs(
+    cat: Catalog,
+    group_ids: DataFrame | None = None,
+    max_items: int | None = MAX_ITEMS,
+    ids: DataFrame | None = None,
+    hot: Mapping[str, Hot] | None = None,
+) -> DataFrame:
+    """Release documents with the release group's row id and ``part``.
+
+    ``group_ids``: row ids of release groups to restrict to. ``ids`` and ``hot``: the row ids of their releases and the
+    findings about long lists, if the caller has them.
+    """
+    base = release_base(cat, group_ids)
+    if ids is None and group_ids is not None:
+        ids = written(base.select(F.col("row_id").alias("id")))
+    children, lengths = release_lists(cat, ids)
+    if hot is None:
+        hot = find_hot(lengths, max_items)
+    wanted = base if ids is None else ids.select(F.col("id").alias("row_id"))
+    children["Tracks"] = Child(
+        track_rows(cat, wanted, hot),
+        "release",
+        F.col("track"),
+        (F.col("track.mediumnumber"), F.col("track.trackposition"), F.col("track.id")),
+    )
+    docs = assemble(base, "row_id", children, hot.get("release"))
     return docs.select(
         "row_id",
         "release_group",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cpus: int | str = "*", partitions: int = 32, memory: str = "8g", shared: str | None = None) -> SparkSession:
     """A local session. Shuffle partitions only bound the start: adaptive execution merges small ones."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("sleevenotes")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -15,5 +15,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    return builder.getOrCreate()

@@ -13,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session may do without the setting; it gets a folder of this machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
