@@ -208,8 +208,7 @@ def release_value(cat: DriverCatalog, children: dict[str, Child], value: Column,
 
 
 def release_date(cat: DriverCatalog) -> DataFrame:
-    value = F.coalesce("full_date", "filled_date").cast("string")
-    return release_value(cat, E.release_dates(cat), value, "releasedate")
+    return release_value(cat, {"date": E.release_date(cat)}, F.col("date.date").cast("string"), "releasedate")
 
 
 def release_track_count(cat: DriverCatalog) -> DataFrame:
@@ -219,7 +218,7 @@ def release_track_count(cat: DriverCatalog) -> DataFrame:
 
 def release_media(cat: DriverCatalog) -> DataFrame:
     child = E.release_media(cat)["Media"]
-    rows = child.rows.withColumnRenamed("id", "medium").withColumn("value", child.value)
+    rows = child.rows.filter(child.where).withColumnRenamed("id", "medium").withColumn("value", child.value)
     return with_release_id(cat, rows).select("id", "value.format", "value.name", "value.position")
 
 

@@ -27,7 +27,8 @@ class Child:
     """Rows that belong to a parent and how they become one column of it.
 
     ``agg``: ``list`` (sorted by ``order``, nulls and copies kept), ``set`` (sorted distinct), ``min``, ``max`` or
-    ``sum``. ``sizes``: cheaper frame ``(parent, n)`` that bounds the list lengths from above.
+    ``sum``. ``sizes``: cheaper frame ``(parent, n)`` that bounds the list lengths from above. ``where``: only these
+    rows count; children that share one ``rows`` frame are read in one pass.
     """
 
     rows: DataFrame
@@ -36,18 +37,21 @@ class Child:
     order: tuple[Column, ...] = ()
     agg: str = "list"
     sizes: DataFrame | None = None
+    where: Column | None = None
 
     def lengths(self) -> DataFrame:
         if self.sizes is not None:
             return self.sizes.toDF("_key", "_n")
-        return self.rows.select(F.col(self.parent).alias("_key"), F.lit(1).cast("long").alias("_n"))
+        rows = self.rows if self.where is None else self.rows.filter(self.where)
+        return rows.select(F.col(self.parent).alias("_key"), F.lit(1).cast("long").alias("_n"))
 
     def entry(self) -> Column:
         if self.agg != "list":
-            return self.value
+            return self.value if self.where is None else F.when(self.where, self.value)
         order = self.order or (self.value,)
         keys = [k for o in order for k in (o.isNull(), o)]
-        return F.struct(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("o"), self.value.alias("v"))
+        entry = F.struct(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("o"), self.value.alias("v"))
+        return entry if self.where is None else F.when(self.where, entry)
 
     def aggregate(self, name: str) -> Column:
         if self.agg == "list":
@@ -108,9 +112,8 @@ def list_lengths(children: Mapping[str, Child], but: tuple[str, ...] = ()) -> li
 
 def _split(child: Child, name: str, hot: Hot) -> DataFrame:
     """Tagged rows of a list child, those of hot parents spread over the parent's parts."""
-    rows = child.rows.select(F.col(child.parent).alias("_key"), child.entry().alias(name)).join(
-        hot.keys, "_key", "left"
-    )
+    kept = child.rows if child.where is None else child.rows.filter(child.where)
+    rows = kept.select(F.col(child.parent).alias("_key"), child.entry().alias(name)).join(hot.keys, "_key", "left")
     cold = rows.filter(F.col("_parts").isNull()).select("_key", F.lit(0).alias("_part"), name)
     # copies are counted first, so that a value repeated without end is also spread
     copies = rows.filter(F.col("_parts").isNotNull()).groupBy("_key", "_parts", name).agg(F.count("*").alias("_n"))
@@ -132,17 +135,25 @@ def assemble(base: DataFrame, key: str, children: dict[str, Child], hot: Hot | N
         own = own.join(hot.keys, "_key", "left").withColumn(
             "_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
         ).drop("_parts")
-    tagged = [own]
+    tagged: dict[tuple[str, ...], DataFrame] = {("_base",): own}
+    shared: dict[tuple[int, str], list[str]] = {}
     for name, child in children.items():
         if hot is not None and child.agg == "list":
-            tagged.append(_split(child, name, hot))
+            tagged[(name,)] = _split(child, name, hot)
         else:
-            tagged.append(
-                child.rows.select(
-                    F.col(child.parent).alias("_key"), F.lit(0).alias("_part"), child.entry().alias(name)
-                )
-            )
-    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+            shared.setdefault((id(child.rows), child.parent), []).append(name)
+    for (_, parent), names in shared.items():
+        rows = children[names[0]].rows
+        entries = [children[n].entry().alias(n) for n in names]
+        tagged[tuple(names)] = rows.select(F.col(parent).alias("_key"), F.lit(0).alias("_part"), *entries)
+    # every frame gets all columns at once, so that the union stays flat
+    types = {n: df.schema[n].dataType for names, df in tagged.items() for n in names}
+
+    def widened(names: tuple[str, ...], df: DataFrame) -> DataFrame:
+        columns = [F.col(n) if n in names else F.lit(None).cast(t).alias(n) for n, t in types.items()]
+        return df.select("_key", "_part", *columns)
+
+    together = reduce(DataFrame.union, [widened(names, df) for names, df in tagged.items()])
     aggs = [F.min("_base").alias("_base")] + [c.aggregate(n).alias(n) for n, c in children.items()]
     keys = ["_key", "_part"] if hot is not None else ["_key"]
     grouped = together.groupBy(*keys)

@@ -148,9 +148,10 @@ def album_docs(
         )
     light = artist_light_docs(cat, wanted, max_items, hot)
     light_doc = F.struct(*[c for c in light.columns if c not in ("row_id", "part")]).cast(f"struct<{ARTIST_LIGHT_DOC}>")
-    embedded = artists.select("release_group", F.col("artist_id").alias("row_id")).join(
-        light.select("row_id", light_doc.alias("artist")), "row_id"
-    )
+    # the pairs are narrow and the documents that join them wide: spread them first, not by the size of the pairs
+    tasks = int(artists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = artists.select("release_group", F.col("artist_id").alias("row_id")).repartition(tasks, "release_group", "row_id")
+    embedded = pairs.join(light.select("row_id", light_doc.alias("artist")), "row_id")
     releases = release_docs(cat, ids, max_items, release_ids, hot)
     release = F.struct(*[c for c in releases.columns if c not in ("row_id", "release_group", "part")]).cast(RELEASE)
     children |= {

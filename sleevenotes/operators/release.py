@@ -31,16 +31,15 @@ def release_base(cat: Catalog, group_ids: DataFrame | None = None) -> DataFrame:
     )
 
 
-def release_dates(cat: Catalog, ids: DataFrame | None = None) -> dict[str, Child]:
-    """Earliest full date and earliest filled date over all countries, known and unknown."""
+def release_date(cat: Catalog, ids: DataFrame | None = None) -> Child:
+    """Earliest full date over all countries, known and unknown; only without one the earliest filled date."""
     columns = ["release", "date_year", "date_month", "date_day"]
     parts = [F.col(c) for c in columns[1:]]
     known = within(cat["release_country"].select(columns), "release", ids)
     rows = known.unionByName(within(cat["release_unknown_country"].select(columns), "release", ids))
-    return {
-        "full_date": Child(rows, "release", S.full_date(*parts), agg="min"),
-        "filled_date": Child(rows, "release", S.filled_date(*parts), agg="min"),
-    }
+    full, filled = S.full_date(*parts), S.filled_date(*parts)
+    dated = rows.select("release", full.isNull().alias("partial"), F.coalesce(full, filled).alias("date"))
+    return Child(dated, "release", F.struct("partial", "date"), agg="min", where=F.col("date").isNotNull())
 
 
 def release_labels(cat: Catalog, ids: DataFrame | None = None) -> Child:
@@ -61,11 +60,12 @@ def release_media(cat: Catalog, ids: DataFrame | None = None) -> dict[str, Child
     """Media that have a format, by position; the track count is over all media."""
     media = within(cat["medium"].select("id", "release", "format", "name", "position", "track_count"), "release", ids)
     formats = cat["medium_format"].select(F.col("id").alias("format"), F.col("name").alias("format_name"))
+    rows = media.join(formats, "format", "left")
     value = F.struct(F.col("format_name").alias("format"), "name", "position").cast(MEDIUM)
     order = (F.col("position"), F.col("id"))
     return {
-        "Media": Child(media.join(formats, "format"), "release", value, order),
-        "TrackCount": Child(media, "release", F.col("track_count"), agg="sum"),
+        "Media": Child(rows, "release", value, order, where=F.col("format_name").isNotNull()),
+        "TrackCount": Child(rows, "release", F.col("track_count"), agg="sum"),
     }
 
 
@@ -134,7 +134,7 @@ def release_lists(
     """
     children = {
         "Oldids": redirects(cat["release_gid_redirect"], ids),
-        **release_dates(cat, ids),
+        "date": release_date(cat, ids),
         "Label": release_labels(cat, ids),
         "Country": release_countries(cat, ids),
         **release_media(cat, ids),
@@ -183,7 +183,7 @@ def release_docs(
         "Title",
         "Disambiguation",
         "Status",
-        F.coalesce("full_date", "filled_date").cast("string").alias("Releasedate"),
+        F.col("date.date").cast("string").alias("Releasedate"),
         "Label",
         "Country",
         "Media",

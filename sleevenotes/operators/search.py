@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the ranking: word break, lengths from which one and two typos pass, distance of words apart.
@@ -102,7 +102,29 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.size(words).alias("terms"), F.posexplode(words).alias("term_no", "term"))
 
 
-def score(index: DataFrame, queries: DataFrame, typos: Typos = Typos()) -> DataFrame:
+def write_index(docs: DataFrame, searchable: tuple[str, ...], tie_breaks: tuple[str, ...], path: str) -> None:
+    """Store postings, vocabulary and the fields that break ties.
+
+    Postings are laid out by token and document, so a query reads few row groups, and a token with very many postings
+    spans several files instead of making one huge one.
+    """
+    words = postings(docs, searchable)
+    laid_out = words.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
+    laid_out.write.mode("overwrite").parquet(f"{path}/postings")
+    stored = docs.sparkSession.read.schema(words.schema).parquet(f"{path}/postings")
+    stored.select("token").distinct().write.mode("overwrite").parquet(f"{path}/vocabulary")
+    roots = sorted({t.split(".")[0] for t in tie_breaks})
+    docs.select("id", "part", *roots).write.mode("overwrite").parquet(f"{path}/documents")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(postings, documents, vocabulary)`` of a stored index, as :func:`search_batch` takes them."""
+    return tuple(spark.read.parquet(f"{path}/{t}") for t in ("postings", "documents", "vocabulary"))
+
+
+def score(
+    index: DataFrame, queries: DataFrame, typos: Typos = Typos(), vocabulary: DataFrame | None = None
+) -> DataFrame:
     """``(query_id, doc_id, words, typo, proximity, attribute, exactness)`` for every match of at least one word.
 
     * words: query words that match
@@ -113,7 +135,8 @@ def score(index: DataFrame, queries: DataFrame, typos: Typos = Typos()) -> DataF
     * exactness: words matched without a typo
     """
     terms = query_terms(queries)
-    pairs = similar_tokens(terms.select("term").distinct(), index.select("token").distinct(), typos)
+    known = vocabulary if vocabulary is not None else index.select("token").distinct()
+    pairs = similar_tokens(terms.select("term").distinct(), known, typos)
     hits = terms.join(pairs, "term").join(index, "token")
     # every hit counts for its word, and as left and right neighbour of a pair (pair i: words i and i + 1)
     no = F.col("term_no")
@@ -165,6 +188,7 @@ def search_batch(
     limit: int = 10,
     tie_breaks: tuple[str, ...] = ("rating.Value",),
     typos: Typos = Typos(),
+    vocabulary: DataFrame | None = None,
 ) -> DataFrame:
     """The best ``limit`` documents of each query, with their measures and ``rank``.
 
@@ -185,7 +209,7 @@ def search_batch(
         F.col("doc_id").asc(),
     ]
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    ranked = score(index, queries, typos).join(ties, "doc_id").withColumn("rank", place).filter(F.col("rank") <= limit)
+    ranked = score(index, queries, typos, vocabulary).join(ties, "doc_id").withColumn("rank", place).filter(F.col("rank") <= limit)
     return ranked.select(
         "query_id", "rank", "doc_id", "words", "typo", "proximity", "attribute", "exactness",
         *[F.col(k).alias(t.split(".")[-1].lower()) for t, k in zip(tie_breaks, keys)],

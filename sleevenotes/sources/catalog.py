@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Collection, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +11,7 @@ from ..schemas import CATALOG, DEFAULT_TABLE_SCHEMA, TABLE_SCHEMA
 
 #: Tables that are read in id pages are stored in id order, so a page touches few row groups.
 PAGED = ("artist", "release_group")
+IMPORTS_AT_ONCE = 8
 
 
 def keeps(name: str, keep_only: Collection[str]) -> bool:
@@ -33,17 +35,23 @@ def load_catalog(
 
 
 def import_catalog(
-    tables: dict[str, DataFrame], path: str, keep_tables: Collection[str] = (), keep_schemas: Collection[str] = ()
+    tables: Mapping[str, DataFrame], path: str, keep_tables: Collection[str] = (), keep_schemas: Collection[str] = ()
 ) -> None:
-    """First import: write each kept table that is not there yet; what exists is left alone."""
-    for name in kept_tables(keep_tables, keep_schemas):
-        if name not in tables:
-            continue
+    """First import: write each kept table that is not there yet; what exists is left alone.
+
+    The tables are independent jobs, several of which run at a time so that small ones do not wait for large ones.
+    """
+
+    def write(name: str) -> None:
         rows = tables[name]
         if name in PAGED:
             rows = rows.repartitionByRange("gid").sortWithinPartitions("gid")
         rows.write.mode("ignore").parquet(f"{path}/{name}")
 
+    wanted = [t for t in kept_tables(keep_tables, keep_schemas) if t in tables]
+    with ThreadPoolExecutor(max_workers=IMPORTS_AT_ONCE) as pool:
+        list(pool.map(write, wanted))
+
 
 def is_empty(df: DataFrame) -> bool:
     """Probe for any row; reads no more than one."""

@@ -40,6 +40,15 @@ def test_ranking(spark):
     assert found(spark, names, "???") == []
 
 
+def test_stored_index(spark, tmp_path):
+    docs = documents(spark, "Joy", "Joy Division", "Division Joy")
+    Q.write_index(docs, ("name", "more"), ("rating.Value",), str(tmp_path / "i"))
+    postings, held, vocabulary = Q.read_index(spark, str(tmp_path / "i"))
+    queries = spark.createDataFrame([(1, "joy division")], "query_id int, query string")
+    hits = Q.search_batch(postings, held, queries, vocabulary=vocabulary).orderBy("rank").collect()
+    assert [(r.doc_id, r.proximity) for r in hits] == [("Joy Division", 1), ("Division Joy", 2), ("Joy", 8)]
+
+
 def test_similar_tokens_are_all_found(spark):
     rng = random.Random(5)
     words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(250)} | {"x" * 3000, "x" * 3001}
