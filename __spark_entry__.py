@@ -30,6 +30,14 @@ from sleevenotes.sources.driver_tables import DriverCatalog, changes_from_events
 from sleevenotes.sources.work import shared_folder, written  # noqa: E402
 from sleevenotes.streaming import feed as X  # noqa: E402
 
+try:  # the training-text operators and the pipeline made of them, where they are installed
+    import corpus_pipeline  # noqa: E402
+    from sleevenotes.llm import queries as training_text  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "sleevenotes.llm"):
+        raise
+    corpus_pipeline = training_text = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -609,8 +617,21 @@ def queries() -> dict[str, Query]:
         "sort_albums": over(
             lambda c: flat_albums(L.sort_by(A.album_docs(c), "rating.Value", "releasedate"))
         ),
-    }
+    } | training_text_queries()
+
+
+def training_text_queries() -> dict[str, Query]:
+    if training_text is None:
+        return {}
+    return {**training_text.QUERIES, "pipeline": corpus_pipeline.run}
+
+
+def training_text_sql() -> dict[str, str]:
+    if training_text is None:
+        return {}
+    sql = {**training_text.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: text for name, text in sql.items() if text is not None}
 
 
 def oracle_sql() -> dict[str, str]:
-    return build_oracle_sql()
+    return {**build_oracle_sql(), **training_text_sql()}

@@ -8,8 +8,9 @@ from conftest import SF
 
 import __spark_entry__ as registered
 
-QUERIES = registered.queries()
-SQL = registered.oracle_sql()
+OWN_TESTS = registered.training_text_queries()
+QUERIES = {name: q for name, q in registered.queries().items() if name not in OWN_TESTS}
+SQL = {name: text for name, text in registered.oracle_sql().items() if name not in OWN_TESTS}
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
