@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleevenotes.llm import packing, quality_rules, token_files
+from sleevenotes.llm import decontaminate, packing, quality_rules, token_files
+from sleevenotes.llm.decontaminate_sql import DECONTAMINATE_SQL
 from sleevenotes.llm.quality_sql import QUALITY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.hit_words(F.col("spans"))
+    names = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality_rules.judged(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
@@ -38,8 +49,9 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op3_decontamination,
         op4_quality_rules,
         op5_token_files,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": DECONTAMINATE_SQL, "op4_quality_rules": QUALITY_SQL}
