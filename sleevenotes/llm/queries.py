@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleevenotes.llm import decontaminate, packing, quality_rules, token_files
+from sleevenotes.llm import decontaminate, packing, quality_rules, simhash, token_files
 from sleevenotes.llm.decontaminate_sql import DECONTAMINATE_SQL
 from sleevenotes.llm.quality_sql import QUALITY_SQL
 
@@ -45,6 +45,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    component = F.when(F.col("label") < simhash.NO_ID, F.col("label"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), component.alias("component_id"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -52,6 +58,7 @@ QUERIES: dict[str, Query] = {
         op3_decontamination,
         op4_quality_rules,
         op5_token_files,
+        op6_simhash_near_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": DECONTAMINATE_SQL, "op4_quality_rules": QUALITY_SQL}
