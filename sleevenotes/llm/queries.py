@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleevenotes.llm import decontaminate, packing, quality_rules, simhash, token_files
+from sleevenotes.llm import decontaminate, language_crf, packing, quality_rules, simhash, token_files
 from sleevenotes.llm.decontaminate_sql import DECONTAMINATE_SQL
 from sleevenotes.llm.quality_sql import QUALITY_SQL
 
@@ -51,6 +51,14 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), component.alias("component_id"))
 
 
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = language_crf.learned_from(F.col("doc_id"))
+    model = language_crf.fit(docs.filter(learned))
+    found = language_crf.predicted(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(~learned, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -59,6 +67,7 @@ QUERIES: dict[str, Query] = {
         op4_quality_rules,
         op5_token_files,
         op6_simhash_near_dedup,
+        op10_language_crf,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": DECONTAMINATE_SQL, "op4_quality_rules": QUALITY_SQL}
