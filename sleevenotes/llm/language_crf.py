@@ -336,3 +336,11 @@ def predicted(docs: DataFrame, model: Model, with_words: bool = False) -> DataFr
     extra = ", lang_pred string, score double" + ", word_langs array<string>" * with_words
     out = plain.mapInArrow(label, kinds + extra)
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), *out.columns[len(names) :])
+
+
+def identified(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The documents with a language whose score is at least least_score, with their own columns."""
+    names = docs.columns
+    plain = docs.select(*(F.col(f"`{c}`").alias("text" if c == "text" else f"c{k}") for k, c in enumerate(names)))
+    out = predicted(plain, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return out.select(*(F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(names)))
