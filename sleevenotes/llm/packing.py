@@ -105,57 +105,54 @@ def _better(room: int, mine: list[tuple[int, list[int]]], theirs: list[tuple[int
 def local_search(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[int]]:
     """Empty the bin with the least in it into the others, again and again, as long as the sum of squared fills grows.
 
-    Every step puts more into the fuller bin, so the sum grows strictly and the search ends.
+    Every step puts more into the fuller bin, so the sum grows strictly and the search ends. It ends early once the room in
+    the other bins is less than what the next bin holds: that bin cannot vanish, nor can any fuller one.
     """
-
-    def sums(own: list[int]) -> tuple[list, list]:
-        ones = sorted((lengths[i], [i]) for i in own)
-        twos = sorted((lengths[i] + lengths[j], [i, j]) for k, i in enumerate(own) for j in own[k + 1 :]) if len(own) <= 64 else []
-        return ones, twos
-
-    room = lambda own: limit - sum(lengths[i] for i in own)
-    full = [b for b in bins if room(b) == 0]
-    open_bins = sorted((b for b in bins if room(b) > 0), key=room)
-    stuck: list[list[int]] = []
+    room = [limit - sum(lengths[i] for i in own) for own in bins]
+    sums: dict[int, tuple[list, list]] = {}
+
+    def sums_of(b: int) -> tuple[list, list]:
+        """Single pieces and pairs of the bin with their lengths, ascending."""
+        if b not in sums:
+            own = bins[b]
+            ones = sorted((lengths[i], [i]) for i in own)
+            twos = sorted((lengths[i] + lengths[j], [i, j]) for k, i in enumerate(own) for j in own[k + 1 :]) if len(own) <= 64 else []
+            sums[b] = ones, twos
+        return sums[b]
+
+    nothing = [(0, [])]
+    open_bins = sorted((b for b in range(len(bins)) if room[b] > 0), key=lambda b: room[b])
+    total = sum(room[b] for b in open_bins)
     while len(open_bins) > 1:
         source = open_bins.pop()
+        if total - room[source] < limit - room[source]:
+            break
         moved = True
-        while moved and source:
+        while moved and bins[source]:
             moved = False
             for target in open_bins:
-                free = room(target)
-                if not free:
+                if not room[target]:
                     continue
-                ones, twos = sums(source)
-                t_ones, t_twos = sums(target)
-                nothing = [(0, [])]
-                step = max(
-                    (
-                        s
-                        for s in (
-                            _better(free, ones[::-1], nothing),  # move one
-                            _better(free, ones[::-1], t_ones),  # one for one
-                            _better(free, twos[::-1], t_ones),  # two for one
-                            _better(free, ones[::-1], t_twos),  # one for two
-                        )
-                        if s
-                    ),
-                    key=lambda s: s[0],
-                    default=None,
+                (ones, twos), (t_ones, t_twos) = sums_of(source), sums_of(target)
+                steps = (
+                    _better(room[target], ones[::-1], nothing),  # move one
+                    _better(room[target], ones[::-1], t_ones),  # one for one
+                    _better(room[target], twos[::-1], t_ones),  # two for one
+                    _better(room[target], ones[::-1], t_twos),  # one for two
                 )
-                # the sum of squares grows if the target ends fuller than the source was, or the gap widens
-                if step and limit - free + step[0] > limit - room(source):
-                    _, give, take = step
-                    source[:] = [i for i in source if i not in give] + take
-                    target[:] = [i for i in target if i not in take] + give
+                added, give, take = max((s for s in steps if s), key=lambda s: s[0], default=(0, [], []))
+                # the sum of squares grows if the target ends fuller than the source was
+                if added and room[target] - added < room[source]:
+                    bins[source] = [i for i in bins[source] if i not in give] + take
+                    bins[target] = [i for i in bins[target] if i not in take] + give
+                    room[source], room[target] = room[source] + added, room[target] - added
+                    sums.pop(source), sums.pop(target)
                     moved = True
-                    if not source:
+                    if not bins[source]:
                         break
-        full += [b for b in open_bins if room(b) == 0]
-        open_bins = [b for b in open_bins if room(b) > 0]
-        if source:
-            stuck.append(source)
-    return full + open_bins + stuck
+        total -= room[source]
+        open_bins = [b for b in open_bins if room[b] > 0]
+    return [own for own in bins if own]
 
 
 def pack_shard(lengths: list[int], limit: int) -> list[list[int]]:
