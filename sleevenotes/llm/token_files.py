@@ -33,14 +33,15 @@ TOKENS_PER_FILE = 8_000_000
 TEXT_PER_PARTITION = 32 << 20
 #: Lengths of the four ranks of each control byte.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
-DECODE_AT_ONCE = 1 << 20
+#: Ids coded in one step; divisible by four.
+AT_ONCE = 1 << 20
 
 
 # -- the code ------------------------------------------------------------------------------------------------------
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Control bytes and data bytes of the ranks (uint32)."""
+    """Control bytes and data bytes of the ranks (uint32); four ranks share a control byte."""
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = extra
@@ -54,8 +55,8 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The n ranks, by table lookups on the control bytes."""
     out, at = np.empty(n, np.uint32), 0
     data = np.concatenate([data, np.zeros(4, np.uint8)])
-    for a in range(0, n, DECODE_AT_ONCE):
-        b = min(n, a + DECODE_AT_ONCE)
+    for a in range(0, n, AT_ONCE):
+        b = min(n, a + AT_ONCE)
         lengths = LENGTHS[control[a // 4 : -(-b // 4)]].ravel()[: b - a]
         starts = at + np.cumsum(lengths) - lengths
         value = data[starts].astype(np.uint32)
@@ -68,15 +69,20 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 
 def file_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    present, codes, times = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((present, -times))
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    control, data = encode_ranks(rank[codes])
-    head = np.array([len(doc_ids), len(ids), len(present), len(control), len(data)], "<i8")
+    runs = range(0, len(ids), AT_ONCE)
+    times = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+    for a in runs:
+        times += np.bincount(ids[a : a + AT_ONCE], minlength=len(times))
+    present = np.flatnonzero(times)
+    by_rank = present[np.lexsort((present, -times[present]))]
+    rank = np.zeros(len(times), np.uint32)
+    rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    coded = [encode_ranks(rank[ids[a : a + AT_ONCE]]) for a in runs]
+    control, data = (np.concatenate([np.zeros(0, np.uint8), *p]) for p in zip(*coded, strict=True)) if coded else 2 * (np.zeros(0, np.uint8),)
+    head = np.array([len(doc_ids), len(ids), len(by_rank), len(control), len(data)], "<i8")
     keys = np.array([k or 0 for k in doc_ids], "<i8")
     nulls = np.array([k is None for k in doc_ids], np.uint8)
-    parts = (head, keys, nulls, counts.astype("<u4"), present[order].astype("<u4"), control, data)
+    parts = (head, keys, nulls, counts.astype("<u4"), by_rank.astype("<u4"), control, data)
     return MARK + b"".join(p.tobytes() for p in parts)
 
 

@@ -23,6 +23,7 @@ UNSAFE_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}] "
 LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 LETTERS_AND_STOP = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]$"
 ENCODE_AT_ONCE = 16_384
+TEXT_AT_ONCE = 24 << 20
 
 
 @lru_cache(maxsize=4)
@@ -53,8 +54,9 @@ def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.n
     total = int(counts.sum())
     if not total:
         return values[:0]
-    shift = np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    shift += np.arange(total)
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    shift = np.repeat((starts - (np.cumsum(counts) - counts)).astype(kind), counts)
+    shift += np.arange(total, dtype=kind)
     return values[shift]
 
 
@@ -130,7 +132,23 @@ def _by_pieces(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_ids(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after the other, each closed by end_id; and how many each has (uint32, int64)."""
+    """Ids of all texts, one after the other, each closed by end_id; and how many each has (uint32, int64).
+
+    Worked off in runs of TEXT_AT_ONCE bytes or less, up to a text,, which bounds the memory.
+    """
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    total = int(sizes[-1]) if len(sizes) else 0
+    runs = total // TEXT_AT_ONCE + 1
+    cuts = np.searchsorted(sizes, total * np.arange(1, runs) // runs, side="right")
+    bounds = np.unique(np.concatenate([[0], cuts, [len(texts)]]))
+    found = [_token_ids(path, texts.slice(a, b - a), end_id) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    if len(found) == 1:
+        return found[0]
+    none = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    return tuple(np.concatenate(p) for p in zip(none, *found, strict=True))
+
+
+def _token_ids(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     if not n:
