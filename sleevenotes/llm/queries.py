@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleevenotes.llm import decontaminate, language_crf, packing, quality_rules, simhash, token_files
+from sleevenotes.llm import decontaminate, language_crf, packing, quality_rules, simhash, token_files, url_rules
 from sleevenotes.llm.decontaminate_sql import DECONTAMINATE_SQL
 from sleevenotes.llm.quality_sql import QUALITY_SQL
+from sleevenotes.llm.url_sql import url_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +60,14 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(~learned, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+#: Rules of the registered query: what to do, and the host and path it is for.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, URL_RULES), default="allow")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -67,7 +76,12 @@ QUERIES: dict[str, Query] = {
         op4_quality_rules,
         op5_token_files,
         op6_simhash_near_dedup,
+        op7_url_rules,
         op10_language_crf,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": DECONTAMINATE_SQL, "op4_quality_rules": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": DECONTAMINATE_SQL,
+    "op4_quality_rules": QUALITY_SQL,
+    "op7_url_rules": url_sql(URL_RULES, "allow"),
+}
