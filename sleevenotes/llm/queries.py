@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleevenotes.llm import chat_repair, decontaminate, language_crf, packing, quality_rules, simhash, token_files, url_rules
+from sleevenotes.llm import chat_repair, cotraining, decontaminate, language_crf, packing, quality_rules, simhash, token_files, url_rules
 from sleevenotes.llm.decontaminate_sql import DECONTAMINATE_SQL
 from sleevenotes.llm.quality_sql import QUALITY_SQL
 from sleevenotes.llm.url_sql import url_sql
@@ -52,6 +52,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), component.alias("component_id"))
 
 
+def op8_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.scored(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repaired(table(spark, sf_dir, "conversations"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
         op5_token_files,
         op6_simhash_near_dedup,
         op7_url_rules,
+        op8_quality_cotraining,
         op9_chat_repair,
         op10_language_crf,
     )
