@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleevenotes.llm import chat_repair, cotraining, decontaminate, language_crf, packing, quality_rules, simhash, token_files, url_rules
+from sleevenotes.llm import chat_repair, cotraining, decontaminate, language_crf, licences, packing, quality_rules, simhash, token_files, url_rules
 from sleevenotes.llm.decontaminate_sql import DECONTAMINATE_SQL
+from sleevenotes.llm.licence_sql import LICENCE_SQL
 from sleevenotes.llm.quality_sql import QUALITY_SQL
 from sleevenotes.llm.url_sql import url_sql
 
@@ -25,6 +26,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scanned(table(spark, sf_dir, "documents"))
+    return found.withColumn("licences", F.array_join("licences", ","))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.hit_words(F.col("spans"))
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_licence_scans,
         op3_decontamination,
         op4_quality_rules,
         op5_token_files,
@@ -92,6 +99,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_licence_scans": LICENCE_SQL,
     "op3_decontamination": DECONTAMINATE_SQL,
     "op4_quality_rules": QUALITY_SQL,
     "op7_url_rules": url_sql(URL_RULES, "allow"),
