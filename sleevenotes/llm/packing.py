@@ -28,6 +28,8 @@ from sleevenotes.sources.work import shared_folder, written
 
 SHARD = 4_096
 SLACK = 2
+#: Bins among which the last part of the search tries all pairs.
+TAIL = 24
 
 
 # -- pieces --------------------------------------------------------------------------------------------------------
@@ -106,7 +108,8 @@ def local_search(bins: list[list[int]], lengths: list[int], limit: int) -> list[
     """Empty the bin with the least in it into the others, again and again, as long as the sum of squared fills grows.
 
     Every step puts more into the fuller bin, so the sum grows strictly and the search ends. It ends early once the room in
-    the other bins is less than what the next bin holds: that bin cannot vanish, nor can any fuller one.
+    the other bins is less than what the next bin holds: that bin cannot vanish, nor can any fuller one. Then the emptiest bins
+    exchange among themselves, until none of them gains or no bin can vanish.
     """
     room = [limit - sum(lengths[i] for i in own) for own in bins]
     sums: dict[int, tuple[list, list]] = {}
@@ -121,37 +124,42 @@ def local_search(bins: list[list[int]], lengths: list[int], limit: int) -> list[
         return sums[b]
 
     nothing = [(0, [])]
+
+    def step(source: int, target: int) -> bool:
+        """The exchange that fills the target most, if the sum of squares grows by it."""
+        if not room[target] or not bins[source]:
+            return False
+        (ones, twos), (t_ones, t_twos) = sums_of(source), sums_of(target)
+        steps = (
+            _better(room[target], ones[::-1], nothing),  # move one
+            _better(room[target], ones[::-1], t_ones),  # one for one
+            _better(room[target], twos[::-1], t_ones),  # two for one
+            _better(room[target], ones[::-1], t_twos),  # one for two
+        )
+        added, give, take = max((s for s in steps if s), key=lambda s: s[0], default=(0, [], []))
+        if not added or room[target] - added >= room[source]:  # it grows if the target ends fuller than the source was
+            return False
+        bins[source] = [i for i in bins[source] if i not in give] + take
+        bins[target] = [i for i in bins[target] if i not in take] + give
+        room[source], room[target] = room[source] + added, room[target] - added
+        sums.pop(source), sums.pop(target)
+        return True
+
     open_bins = sorted((b for b in range(len(bins)) if room[b] > 0), key=lambda b: room[b])
     total = sum(room[b] for b in open_bins)
     while len(open_bins) > 1:
         source = open_bins.pop()
         if total - room[source] < limit - room[source]:
             break
-        moved = True
-        while moved and bins[source]:
-            moved = False
-            for target in open_bins:
-                if not room[target]:
-                    continue
-                (ones, twos), (t_ones, t_twos) = sums_of(source), sums_of(target)
-                steps = (
-                    _better(room[target], ones[::-1], nothing),  # move one
-                    _better(room[target], ones[::-1], t_ones),  # one for one
-                    _better(room[target], twos[::-1], t_ones),  # two for one
-                    _better(room[target], ones[::-1], t_twos),  # one for two
-                )
-                added, give, take = max((s for s in steps if s), key=lambda s: s[0], default=(0, [], []))
-                # the sum of squares grows if the target ends fuller than the source was
-                if added and room[target] - added < room[source]:
-                    bins[source] = [i for i in bins[source] if i not in give] + take
-                    bins[target] = [i for i in bins[target] if i not in take] + give
-                    room[source], room[target] = room[source] + added, room[target] - added
-                    sums.pop(source), sums.pop(target)
-                    moved = True
-                    if not bins[source]:
-                        break
+        while any([step(source, target) for target in open_bins]):
+            pass
         total -= room[source]
         open_bins = [b for b in open_bins if room[b] > 0]
+    # all pairs of the emptiest bins, as long as a bin more than the least number is there
+    while sum(map(bool, bins)) * limit - sum(lengths) >= limit:
+        tail = sorted((b for b in range(len(bins)) if bins[b] and room[b]), key=lambda b: -room[b])[:TAIL]
+        if not any([step(a, b) for k, a in enumerate(tail) for b in tail[k + 1 :]]):
+            break
     return [own for own in bins if own]
 
 
