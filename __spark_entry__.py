@@ -382,8 +382,8 @@ def stream_incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = catalog(spark, sf_dir)
     stores = {}
     for entity in (ARTIST, ALBUM):
-        none = entity.build(cat, ids=cat[entity.name].select("id").limit(0), max_items=None)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in none.schema.fields if f.name != "part")
+        none = entity.build(cat, ids=cat[entity.name].select("id").limit(0))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in none.schema.fields)
         stores[entity.name] = DocumentStore(spark, f"{folder}/{entity.index}", schema)
         stores[entity.name].write_base(none)
     X.stream_incremental_sync(streamed_changes(spark, sf_dir), cat, stores, folder).awaitTermination()
@@ -489,12 +489,11 @@ def doc_decode_json(cat: DriverCatalog) -> DataFrame:
 def doc_upsert(cat: DriverCatalog) -> DataFrame:
     """Three batches over all albums: everything, those with former ids, those of one kind; empty ones go."""
     groups = cat["release_group"]
-    part = F.lit(0).alias("part")
-    old = groups.select(F.col("gid").alias("id"), F.lit(1).cast("long").alias("version"), F.col("name").alias("title"), part)
+    old = groups.select(F.col("gid").alias("id"), F.lit(1).cast("long").alias("version"), F.col("name").alias("title"))
     renamed = groups.join(cat["release_group_gid_redirect"].select(F.col("new_id").alias("id")), "id", "left_semi")
-    second = renamed.select(F.col("gid").alias("id"), F.lit(2).cast("long").alias("version"), F.upper("name").alias("title"), part)
+    second = renamed.select(F.col("gid").alias("id"), F.lit(2).cast("long").alias("version"), F.upper("name").alias("title"))
     third = groups.filter("comment = 'BUILDING'").select(
-        F.col("gid").alias("id"), F.lit(3).cast("long").alias("version"), F.lower("name").alias("title"), part
+        F.col("gid").alias("id"), F.lit(3).cast("long").alias("version"), F.lower("name").alias("title")
     )
     gone = groups.filter("comment = 'MACHINERY'").join(
         cat["release"].select(F.col("release_group").alias("id")), "id", "left_anti"

@@ -1,34 +1,28 @@
 """Put the child rows of a parent together as one nested row.
 
 All children and the parent's own columns travel through **one** shuffle: they are unioned as tagged rows
-``(key, part, <one struct column per child>)`` and grouped once. ``collect_list`` skips the nulls of the other
+``(key, <one struct column per child>)`` and grouped once. ``collect_list`` skips the nulls of the other
 children, and keeps null values because each value is wrapped in a struct.
 
-A parent with more than ``max_items`` rows in some list is *hot*: it comes out as several rows ("parts"), each with
-the parent's own columns and a share of every list, so that no task ever holds an unbounded group. The lists of all
-parts together are the whole lists. All other parents come out as exactly one row, part 0.
+A nested document is one row at every size. Where lists may be too long for a row, :func:`flat_tables` gives the same content
+as a head row per parent and one row per entry.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ITEMS = 50_000
-MAX_BROADCAST_KEYS = 100_000
-
 
 @dataclass(frozen=True)
 class Child:
     """Rows that belong to a parent and how they become one column of it.
 
     ``agg``: ``list`` (sorted by ``order``, nulls and copies kept), ``set`` (sorted distinct), ``min``, ``max`` or
-    ``sum``. ``sizes``: cheaper frame ``(parent, n)`` that bounds the list lengths from above. ``where``: only these
-    rows count; children that share one ``rows`` frame are read in one pass.
+    ``sum``. ``where``: only these rows count; children that share one ``rows`` frame are read in one pass.
     """
 
     rows: DataFrame
@@ -36,15 +30,8 @@ class Child:
     value: Column
     order: tuple[Column, ...] = ()
     agg: str = "list"
-    sizes: DataFrame | None = None
     where: Column | None = None
 
-    def lengths(self) -> DataFrame:
-        if self.sizes is not None:
-            return self.sizes.toDF("_key", "_n")
-        rows = self.rows if self.where is None else self.rows.filter(self.where)
-        return rows.select(F.col(self.parent).alias("_key"), F.lit(1).cast("long").alias("_n"))
-
     def entry(self) -> Column:
         if self.agg != "list":
             return self.value if self.where is None else F.when(self.where, self.value)
@@ -61,105 +48,46 @@ class Child:
         return {"min": F.min, "max": F.max, "sum": F.sum}[self.agg](name)
 
 
-@dataclass(frozen=True)
-class Hot:
-    """Hot parents ``(_key, _parts)`` and the list length that made them hot."""
-
-    keys: DataFrame
-    max_items: int
-
-
-def find_hot(lengths: Mapping[str, list[DataFrame]], max_items: int | None) -> dict[str, Hot]:
-    """Per name, the parents whose longest list exceeds ``max_items``; names without such parents are left out.
-
-    One job over the key columns for all names, pre-aggregated before its shuffle. At most ``MAX_BROADCAST_KEYS + 1``
-    rows reach the driver; beyond that the keys stay a distributed frame and are joined without a broadcast.
-    """
-    if max_items is None:
-        return {}
-    tagged = [
-        df.select(F.lit(name).alias("_name"), F.lit(i).alias("_list"), "_key", "_n")
-        for name, frames in lengths.items()
-        for i, df in enumerate(frames)
-    ]
-    keys = (
-        reduce(DataFrame.unionByName, tagged)
-        .groupBy("_name", "_list", "_key")
-        .agg(F.sum("_n").alias("_n"))
-        .filter(F.col("_n") > max_items)
-        .groupBy("_name", "_key")
-        .agg(F.ceil(F.max("_n") / F.lit(max_items)).cast("int").alias("_parts"))
-    )
-    found = keys.limit(MAX_BROADCAST_KEYS + 1).collect()
-    if not found:
-        return {}
-    small = len(found) <= MAX_BROADCAST_KEYS
-    if small:
-        keys = keys.sparkSession.createDataFrame(found, keys.schema)
-
-    def of(name: str) -> Hot:
-        mine = keys.filter(F.col("_name") == name).select("_key", "_parts")
-        return Hot(F.broadcast(mine) if small else mine, max_items)
-
-    # if not all fit, any name may have some
-    return {name: of(name) for name in (lengths if not small else {r["_name"] for r in found})}
-
-
-def list_lengths(children: Mapping[str, Child], but: tuple[str, ...] = ()) -> list[DataFrame]:
-    """Lengths of the list children, for :func:`find_hot`."""
-    return [c.lengths() for name, c in children.items() if c.agg == "list" and name not in but]
-
-
-def _split(child: Child, name: str, hot: Hot) -> DataFrame:
-    """Tagged rows of a list child, those of hot parents spread over the parent's parts."""
-    kept = child.rows if child.where is None else child.rows.filter(child.where)
-    rows = kept.select(F.col(child.parent).alias("_key"), child.entry().alias(name)).join(hot.keys, "_key", "left")
-    cold = rows.filter(F.col("_parts").isNull()).select("_key", F.lit(0).alias("_part"), name)
-    # copies are counted first, so that a value repeated without end is also spread
-    copies = rows.filter(F.col("_parts").isNotNull()).groupBy("_key", "_parts", name).agg(F.count("*").alias("_n"))
-    chunk = F.lit(hot.max_items).cast("long")
-    spread = (
-        copies.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {hot.max_items}"))))
-        .withColumn("_part", F.pmod(F.xxhash64(name, "_chunk"), F.col("_parts").cast("long")).cast("int"))
-        .withColumn("_copies", F.least(chunk, F.col("_n") - F.col("_chunk") * chunk).cast("int"))
-        .select("_key", "_part", name, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy"))
-        .drop("_copy")
-    )
-    return cold.unionByName(spread)
-
-
-def assemble(base: DataFrame, key: str, children: dict[str, Child], hot: Hot | None = None) -> DataFrame:
-    """``base`` columns, one column per child, and ``part``; children without a base row are dropped."""
-    own = base.select(F.col(key).alias("_key"), F.lit(0).alias("_part"), F.struct(*base.columns).alias("_base"))
-    if hot is not None:
-        own = own.join(hot.keys, "_key", "left").withColumn(
-            "_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
-        ).drop("_parts")
-    tagged: dict[tuple[str, ...], DataFrame] = {("_base",): own}
+def assemble(base: DataFrame, key: str, children: dict[str, Child]) -> DataFrame:
+    """``base`` columns and one column per child; children without a base row are dropped."""
+    tagged: dict[tuple[str, ...], DataFrame] = {
+        ("_base",): base.select(F.col(key).alias("_key"), F.struct(*base.columns).alias("_base"))
+    }
     shared: dict[tuple[int, str], list[str]] = {}
     for name, child in children.items():
-        if hot is not None and child.agg == "list":
-            tagged[(name,)] = _split(child, name, hot)
-        else:
-            shared.setdefault((id(child.rows), child.parent), []).append(name)
+        shared.setdefault((id(child.rows), child.parent), []).append(name)
     for (_, parent), names in shared.items():
         rows = children[names[0]].rows
-        entries = [children[n].entry().alias(n) for n in names]
-        tagged[tuple(names)] = rows.select(F.col(parent).alias("_key"), F.lit(0).alias("_part"), *entries)
+        tagged[tuple(names)] = rows.select(F.col(parent).alias("_key"), *[children[n].entry().alias(n) for n in names])
     # every frame gets all columns at once, so that the union stays flat
     types = {n: df.schema[n].dataType for names, df in tagged.items() for n in names}
 
     def widened(names: tuple[str, ...], df: DataFrame) -> DataFrame:
         columns = [F.col(n) if n in names else F.lit(None).cast(t).alias(n) for n, t in types.items()]
-        return df.select("_key", "_part", *columns)
+        return df.select("_key", *columns)
 
     together = reduce(DataFrame.union, [widened(names, df) for names, df in tagged.items()])
     aggs = [F.min("_base").alias("_base")] + [c.aggregate(n).alias(n) for n, c in children.items()]
-    keys = ["_key", "_part"] if hot is not None else ["_key"]
-    grouped = together.groupBy(*keys)
-    out = grouped.agg(*aggs).filter(F.col("_base").isNotNull())
-    part = F.col("_part") if hot is not None else F.lit(0)
-    return out.select("_base.*", *children, part.alias("part"))
+    out = together.groupBy("_key").agg(*aggs).filter(F.col("_base").isNotNull())
+    return out.select("_base.*", *children)
+
+
+def flat_tables(base: DataFrame, key: str, children: dict[str, Child]) -> dict[str, DataFrame]:
+    """The same content without nesting: ``head``, one row per parent with all that is no list, and one table per list.
+
+    A list's table has a row per entry, ``(<key>, order, value)``; ``order`` sorts the entries of a parent. So a parent with
+    any number of entries is spread over tasks like any other rows.
+    """
+    lists = {n: c for n, c in children.items() if c.agg in ("list", "set")}
+    out = {"head": assemble(base, key, {n: c for n, c in children.items() if n not in lists})}
+    for name, child in lists.items():
+        rows = child.rows if child.where is None else child.rows.filter(child.where)
+        plain = replace(child, where=None, agg="list").entry()
+        entries = rows.select(F.col(child.parent).alias(key), plain.alias("e"))
+        entries = entries.select(key, F.col("e.o").alias("order"), F.col("e.v").alias("value"))
+        entries = entries.filter("value is not null").distinct() if child.agg == "set" else entries
+        out[name] = entries.join(base.select(key), key, "left_semi")
+    return out
 
 
 def within(df: DataFrame, column: str, ids: DataFrame | None, id_column: str = "id") -> DataFrame:
@@ -169,11 +97,7 @@ def within(df: DataFrame, column: str, ids: DataFrame | None, id_column: str = "
     return df.join(ids.select(F.col(id_column).alias(column)), column, "left_semi")
 
 
-def list_per_key(child: Child, name: str, hot: Hot | None = None) -> DataFrame:
-    """``(<parent>, <name>)``: one list per key; several rows for a hot key, each with a share of its list."""
-    if hot is None:
-        rows = child.rows.select(F.col(child.parent).alias("_key"), child.entry().alias(name))
-        grouped = rows.groupBy("_key")
-    else:
-        grouped = _split(child, name, hot).groupBy("_key", "_part")
-    return grouped.agg(child.aggregate(name).alias(name)).select(F.col("_key").alias(child.parent), name)
+def list_per_key(child: Child, name: str) -> DataFrame:
+    """``(<parent>, <name>)``: one list per key."""
+    rows = child.rows.select(F.col(child.parent).alias("_key"), child.entry().alias(name))
+    return rows.groupBy("_key").agg(child.aggregate(name).alias(name)).select(F.col("_key").alias(child.parent), name)

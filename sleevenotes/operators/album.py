@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.assemble import MAX_ITEMS, Child, Hot, assemble, find_hot, list_lengths, within
+from ..functions.assemble import Child, assemble, flat_tables, within
 from ..schemas import ARTIST_LIGHT_DOC, RELEASE
 from ..sources.work import written
 from .artist import (
     Catalog,
     artist_light_docs,
-    artist_lists,
     genres,
     group_release_date,
     lead_credit,
@@ -24,7 +21,7 @@ from .artist import (
     redirects,
     secondary_types,
 )
-from .release import release_docs, release_lists, tracks_per_release
+from .release import release_docs
 
 
 def album_base(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
@@ -99,62 +96,49 @@ def images(release_id: Column, use_release_gid: bool = False) -> Column:
     return F.filter(F.array(one("Cover", "front"), one("Disc", "medium")), lambda i: i.isNotNull())
 
 
-def track_counts(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
-    """``(release, release_group, n)``: per release one row, with an upper bound of its tracks plus one for itself."""
-    releases = within(cat["release"].select(F.col("id").alias("release"), "release_group"), "release_group", ids)
-    kept = releases.select(F.col("release").alias("row_id")) if ids is not None else None
-    tracks = tracks_per_release(cat, kept).groupBy("release").agg(F.sum("n").alias("n"))
-    return releases.join(tracks, "release", "left").select(
-        "release", "release_group", (F.coalesce("n", F.lit(0)) + F.lit(1)).alias("n")
-    )
+def album_children(cat: Catalog, ids: DataFrame | None = None) -> dict[str, Child]:
+    """The lists of albums except what they embed: their artists' and releases' documents."""
+    return {
+        "oldids": redirects(cat["release_group_gid_redirect"], ids),
+        "aliases": album_aliases(cat, ids),
+        "secondarytypes": secondary_types(cat, ids),
+        "meta": meta(cat["release_group_meta"], ids),
+        "links": links(cat["l_release_group_url"], cat, ids),
+        "genres": genres(cat["release_group_tag"], "release_group", cat, ids),
+        **front_images(cat, ids),
+    }
+
+
+def album_tables(cat: Catalog, ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Albums as a head table and one table per list, keyed by ``row_id``.
+
+    ``artistids`` points to the artists and ``release_tables`` have the releases, so nothing is embedded.
+    """
+    children = album_children(cat, ids) | {
+        "artistids": Child(group_artists(cat, ids), "release_group", F.col("artist_gid")),
+    }
+    return flat_tables(album_base(cat, ids), "row_id", children)
 
 
-def album_docs(
-    cat: Catalog,
-    ids: DataFrame | None = None,
-    max_items: int | None = MAX_ITEMS,
-    use_release_gid: bool = False,
-) -> DataFrame:
-    """Album documents and ``part``.
+def album_docs(cat: Catalog, ids: DataFrame | None = None, use_release_gid: bool = False) -> DataFrame:
+    """Album documents.
 
     ``ids``: row ids of release groups to restrict to; many scans read it, so it should be a table and not a long plan.
     """
     base = album_base(cat, ids)
-    artists = group_artists(cat, ids)
+    artists = written(group_artists(cat, ids))  # feeds two lists
     wanted = release_ids = None
     if ids is not None:
-        artists = written(artists)
         wanted = written(artists.select(F.col("artist_id").alias("id")).distinct())
         release_ids = written(within(cat["release"].select("id", "release_group"), "release_group", ids).select("id"))
-    children = {
-        "oldids": redirects(cat["release_group_gid_redirect"], ids),
-        "aliases": album_aliases(cat, ids),
-        "secondarytypes": secondary_types(cat, ids),
-        "meta": meta(cat["release_group_meta"], ids),
-        "links": links(cat["l_release_group_url"], cat, ids),
-        "genres": genres(cat["release_group_tag"], "release_group", cat, ids),
-        **front_images(cat, ids),
-    }
-    hot: Mapping[str, Hot] = {}
-    if max_items is not None:
-        counts = written(track_counts(cat, ids))
-        hot = find_hot(
-            {
-                "release_group": [*list_lengths(children), counts.select("release_group", "n").toDF("_key", "_n")],
-                "artist": list_lengths(artist_lists(cat, wanted)),
-                **release_lists(cat, release_ids, counts.select("release", "n"))[1],
-            },
-            max_items,
-        )
-    light = artist_light_docs(cat, wanted, max_items, hot)
-    light_doc = F.struct(*[c for c in light.columns if c not in ("row_id", "part")]).cast(f"struct<{ARTIST_LIGHT_DOC}>")
+    light = artist_light_docs(cat, wanted)
+    light_doc = F.struct(*[c for c in light.columns if c != "row_id"]).cast(f"struct<{ARTIST_LIGHT_DOC}>")
     # the pairs are narrow and the documents that join them wide: spread them first, not by the size of the pairs
-    tasks = int(artists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = artists.select("release_group", F.col("artist_id").alias("row_id")).repartition(tasks, "release_group", "row_id")
+    pairs = artists.select("release_group", F.col("artist_id").alias("row_id")).repartition("release_group", "row_id")
     embedded = pairs.join(light.select("row_id", light_doc.alias("artist")), "row_id")
-    releases = release_docs(cat, ids, max_items, release_ids, hot)
-    release = F.struct(*[c for c in releases.columns if c not in ("row_id", "release_group", "part")]).cast(RELEASE)
-    children |= {
+    releases = release_docs(cat, ids, release_ids)
+    release = F.struct(*[c for c in releases.columns if c not in ("row_id", "release_group")]).cast(RELEASE)
+    children = album_children(cat, ids) | {
         "artistids": Child(artists, "release_group", F.col("artist_gid")),
         "artists": Child(embedded, "release_group", F.col("artist"), (F.col("artist.id"),)),
         "Releases": Child(
@@ -164,7 +148,7 @@ def album_docs(
             (F.col("release.Id"),),
         ),
     }
-    docs = assemble(base, "row_id", children, hot.get("release_group"))
+    docs = assemble(base, "row_id", children)
     return docs.select(
         "id",
         "oldids",
@@ -184,6 +168,5 @@ def album_docs(
         F.lit(None).cast("array<string>").alias("releasestatuses"),
         F.lit(None).cast("string").alias("overview"),
         "artists",
-        "part",
     )
 

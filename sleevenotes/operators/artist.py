@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.assemble import MAX_ITEMS, Child, Hot, assemble, find_hot, list_lengths, within
+from ..functions.assemble import Child, assemble, flat_tables, within
 from ..schemas import ALBUM_LIGHT, IMAGE
 from ..sources.work import written
 
@@ -38,9 +38,7 @@ def genre_tags(cat: Catalog) -> DataFrame:
 def genres(tagged: DataFrame, owner: str, cat: Catalog, ids: DataFrame | None = None) -> Child:
     """Genres of the owner that have more votes for than against."""
     votes = within(tagged.filter("count > 0").select(owner, "tag"), owner, ids)
-    return Child(
-        votes.join(genre_tags(cat), "tag"), owner, F.col("genre"), sizes=votes.groupBy(owner).agg(F.count("*"))
-    )
+    return Child(votes.join(genre_tags(cat), "tag"), owner, F.col("genre"))
 
 
 def links(joined: DataFrame, cat: Catalog, ids: DataFrame | None = None) -> Child:
@@ -49,7 +47,7 @@ def links(joined: DataFrame, cat: Catalog, ids: DataFrame | None = None) -> Chil
     urls = cat["url"].select(F.col("id").alias("entity1"), "url", S.link_type(F.col("url")).alias("site"))
     rows = pairs.join(urls.filter("site is not null"), "entity1")
     value = F.struct(F.col("site").alias("target"), F.col("url").alias("type"))
-    return Child(rows, "entity0", value, (F.col("url"),), sizes=pairs.groupBy("entity0").agg(F.count("*")))
+    return Child(rows, "entity0", value, (F.col("url"),))
 
 
 def aliases(table: DataFrame, owner: str, ids: DataFrame | None = None) -> Child:
@@ -99,20 +97,10 @@ def artist_lists(cat: Catalog, ids: DataFrame | None = None) -> dict[str, Child]
     }
 
 
-def artist_light_docs(
-    cat: Catalog,
-    ids: DataFrame | None = None,
-    max_items: int | None = MAX_ITEMS,
-    hot: Mapping[str, Hot] | None = None,
-) -> DataFrame:
-    """Artist documents without albums, with the row id and ``part``. ``hot``: findings of the caller, if it has any."""
-    children = artist_lists(cat, ids)
-    if hot is None:
-        hot = find_hot({"artist": list_lengths(children)}, max_items)
-    docs = assemble(artist_base(cat, ids), "row_id", children, hot.get("artist"))
-    return docs.select(
-        "row_id", *_light_columns(), "genres", empty(IMAGE).alias("images"), empty("string").alias("albums"), "part"
-    )
+def artist_light_docs(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
+    """Artist documents without albums, with the row id."""
+    docs = assemble(artist_base(cat, ids), "row_id", artist_lists(cat, ids))
+    return docs.select("row_id", *_light_columns(), "genres", empty(IMAGE).alias("images"), empty("string").alias("albums"))
 
 
 def _light_columns() -> list[Column]:
@@ -187,14 +175,17 @@ def release_statuses(cat: Catalog, ids: DataFrame | None = None) -> Child:
     return Child(releases.join(names, "status"), "release_group", F.col("status_name"), agg="set")
 
 
-def artist_docs(cat: Catalog, ids: DataFrame | None = None, max_items: int | None = MAX_ITEMS) -> DataFrame:
-    """Artist documents with their light albums ordered by id, and ``part``. ``ids``: row ids to restrict to."""
-    children = artist_lists(cat, ids)
-    per_credit = cat["release_group"].groupBy("artist_credit").agg(F.count("*").alias("n"))
-    sizes = per_credit.join(within(lead_credit(cat), "artist_id", ids), "artist_credit").select("artist_id", "n")
-    children["albums"] = Child(
-        album_light(cat, ids), "artist_id", F.col("album"), (F.col("album.id"),), sizes=sizes
-    )
-    hot = find_hot({"artist": list_lengths(children)}, max_items)
-    docs = assemble(artist_base(cat, ids), "row_id", children, hot.get("artist"))
-    return docs.select(*_light_columns(), "albums", empty(IMAGE).alias("images"), "genres", "part")
+def artist_children(cat: Catalog, ids: DataFrame | None = None) -> dict[str, Child]:
+    albums = Child(album_light(cat, ids), "artist_id", F.col("album"), (F.col("album.id"),))
+    return artist_lists(cat, ids) | {"albums": albums}
+
+
+def artist_docs(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
+    """Artist documents with their light albums ordered by id. ``ids``: row ids to restrict to."""
+    docs = assemble(artist_base(cat, ids), "row_id", artist_children(cat, ids))
+    return docs.select(*_light_columns(), "albums", empty(IMAGE).alias("images"), "genres")
+
+
+def artist_tables(cat: Catalog, ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Artist documents as a head table and one table per list, keyed by ``row_id``."""
+    return flat_tables(artist_base(cat, ids), "row_id", artist_children(cat, ids))

@@ -42,7 +42,7 @@ def filter_by(docs: DataFrame, filterable: tuple[str, ...], **conditions: str) -
 
 def sort_by(docs: DataFrame, *fields: str) -> DataFrame:
     """Documents by the fields, greatest first, absent last; ties by id."""
-    return docs.orderBy(*[F.col(f).desc_nulls_last() for f in fields], "id", "part")
+    return docs.orderBy(*[F.col(f).desc_nulls_last() for f in fields], "id")
 
 
 def without_tracks(albums: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.assemble import MAX_ITEMS, Child, Hot, assemble, find_hot, list_lengths, list_per_key, within
+from ..functions.assemble import Child, assemble, flat_tables, list_per_key, within
 from ..schemas import MEDIUM, TRACK
 from ..sources.work import written
 from .artist import Catalog, lead_credit, redirects
@@ -45,7 +43,7 @@ def release_date(cat: Catalog, ids: DataFrame | None = None) -> Child:
 def release_labels(cat: Catalog, ids: DataFrame | None = None) -> Child:
     pairs = within(cat["release_label"].select("release", "label"), "release", ids)
     names = cat["label"].select(F.col("id").alias("label"), "name")
-    return Child(pairs.join(names, "label"), "release", F.col("name"), sizes=pairs.groupBy("release").agg(F.count("*")))
+    return Child(pairs.join(names, "label"), "release", F.col("name"))
 
 
 def release_countries(cat: Catalog, ids: DataFrame | None = None) -> Child:
@@ -53,7 +51,7 @@ def release_countries(cat: Catalog, ids: DataFrame | None = None) -> Child:
     pairs = within(cat["release_country"].select("release", "country"), "release", ids)
     names = cat["area"].select(F.col("id").alias("country"), "name")
     rows = pairs.join(cat["country_area"].select(F.col("area").alias("country")), "country").join(names, "country")
-    return Child(rows, "release", F.col("name"), sizes=pairs.groupBy("release").agg(F.count("*")))
+    return Child(rows, "release", F.col("name"))
 
 
 def release_media(cat: Catalog, ids: DataFrame | None = None) -> dict[str, Child]:
@@ -69,9 +67,7 @@ def release_media(cat: Catalog, ids: DataFrame | None = None) -> dict[str, Child
     }
 
 
-def track_rows(
-    cat: Catalog, releases: DataFrame | None = None, hot: Mapping[str, Hot] | None = None
-) -> DataFrame:
+def track_rows(cat: Catalog, releases: DataFrame | None = None) -> DataFrame:
     """``(release, track)``: audio tracks with medium, lead artist, recording and former ids.
 
     ``releases``: frame with the ids (``row_id``) of the releases to keep; applied to media before the track scan's
@@ -80,8 +76,8 @@ def track_rows(
     media = cat["medium"].select(F.col("id").alias("medium"), "release", F.col("position").alias("mediumnumber"))
     if releases is not None:
         media = within(media, "release", releases, "row_id")
-    old_tracks = list_per_key(redirects(cat["track_gid_redirect"]), "oldids", (hot or {}).get("track"))
-    old_recordings = list_per_key(redirects(cat["recording_gid_redirect"]), "oldrecordingids", (hot or {}).get("recording"))
+    old_tracks = list_per_key(redirects(cat["track_gid_redirect"]), "oldids")
+    old_recordings = list_per_key(redirects(cat["recording_gid_redirect"]), "oldrecordingids")
     recordings = (
         cat["recording"]
         .filter("video = false")
@@ -113,68 +109,44 @@ def track_rows(
     )
 
 
-def tracks_per_release(cat: Catalog, releases: DataFrame | None = None) -> DataFrame:
-    """``(release, n)``: upper bound of the tracks of each release, from key columns only.
-
-    Tracks are counted per medium first, so only one number per medium is shuffled on.
-    """
-    counts = cat["track"].groupBy("medium").agg(F.count("*").alias("n"))
-    media = cat["medium"].select(F.col("id").alias("medium"), "release")
-    if releases is not None:
-        media = within(media, "release", releases, "row_id")
-    return counts.join(media, "medium").select("release", "n")
-
-
-def release_lists(
-    cat: Catalog, ids: DataFrame | None = None, sizes: DataFrame | None = None
-) -> tuple[dict[str, Child], dict[str, list[DataFrame]]]:
-    """The lists of releases except their tracks, and the lengths of all lists of releases, tracks and recordings.
-
-    ``sizes``: ``(release, n)``, tracks per release, if the caller has them.
-    """
-    children = {
+def release_children(cat: Catalog, base: DataFrame, ids: DataFrame | None = None) -> dict[str, Child]:
+    """The lists of releases. ``ids``: row ids of the releases to keep, if they are restricted."""
+    wanted = base if ids is None else ids.select(F.col("id").alias("row_id"))
+    return {
         "Oldids": redirects(cat["release_gid_redirect"], ids),
         "date": release_date(cat, ids),
         "Label": release_labels(cat, ids),
         "Country": release_countries(cat, ids),
         **release_media(cat, ids),
+        "Tracks": Child(
+            track_rows(cat, wanted),
+            "release",
+            F.col("track"),
+            (F.col("track.mediumnumber"), F.col("track.trackposition"), F.col("track.id")),
+        ),
     }
-    if sizes is None:
-        sizes = tracks_per_release(cat, ids.select(F.col("id").alias("row_id")) if ids is not None else None)
-    lengths = {
-        "release": [*list_lengths(children), sizes.toDF("_key", "_n")],
-        "track": [redirects(cat["track_gid_redirect"]).lengths()],
-        "recording": [redirects(cat["recording_gid_redirect"]).lengths()],
-    }
-    return children, lengths
-
 
-def release_docs(
-    cat: Catalog,
-    group_ids: DataFrame | None = None,
-    max_items: int | None = MAX_ITEMS,
-    ids: DataFrame | None = None,
-    hot: Mapping[str, Hot] | None = None,
-) -> DataFrame:
-    """Release documents with the release group's row id and ``part``.
 
-    ``group_ids``: row ids of release groups to restrict to. ``ids`` and ``hot``: the row ids of their releases and the
-    findings about long lists, if the caller has them.
-    """
+def _based(cat: Catalog, group_ids: DataFrame | None, ids: DataFrame | None) -> tuple[DataFrame, dict[str, Child]]:
     base = release_base(cat, group_ids)
     if ids is None and group_ids is not None:
         ids = written(base.select(F.col("row_id").alias("id")))
-    children, lengths = release_lists(cat, ids)
-    if hot is None:
-        hot = find_hot(lengths, max_items)
-    wanted = base if ids is None else ids.select(F.col("id").alias("row_id"))
-    children["Tracks"] = Child(
-        track_rows(cat, wanted, hot),
-        "release",
-        F.col("track"),
-        (F.col("track.mediumnumber"), F.col("track.trackposition"), F.col("track.id")),
-    )
-    docs = assemble(base, "row_id", children, hot.get("release"))
+    return base, release_children(cat, base, ids)
+
+
+def release_tables(cat: Catalog, group_ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Release documents as a head table and one table per list (``Tracks``, ``Media``, ...), keyed by ``row_id``."""
+    base, children = _based(cat, group_ids, None)
+    return flat_tables(base, "row_id", children)
+
+
+def release_docs(cat: Catalog, group_ids: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Release documents with the release group's row id.
+
+    ``group_ids``: row ids of release groups to restrict to. ``ids``: the row ids of their releases, if the caller has them.
+    """
+    base, children = _based(cat, group_ids, ids)
+    docs = assemble(base, "row_id", children)
     return docs.select(
         "row_id",
         "release_group",
@@ -189,5 +161,4 @@ def release_docs(
         "Media",
         "TrackCount",
         "Tracks",
-        "part",
     )

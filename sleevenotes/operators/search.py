@@ -40,13 +40,12 @@ def postings(docs: DataFrame, searchable: tuple[str, ...]) -> DataFrame:
     ``attr_rank`` counts from 1 in order of weight. A field that is a list has one ``item`` per element; words of
     different items are never close to each other.
     """
-    part = F.shiftleft(F.col("part").cast("long"), 32)
 
     def values(rank: int, field: str) -> Column:
         column = F.col(field)
         listed = column if docs.select(column).schema[0].dataType.typeName() == "array" else F.array(column)
         return F.transform(
-            listed, lambda text, i: F.struct(F.lit(rank).alias("attr_rank"), (part + i).alias("item"), text.alias("text"))
+            listed, lambda text, i: F.struct(F.lit(rank).alias("attr_rank"), i.cast("long").alias("item"), text.alias("text"))
         )
 
     entries = F.concat(*[values(i + 1, f) for i, f in enumerate(searchable)])
@@ -114,7 +113,7 @@ def write_index(docs: DataFrame, searchable: tuple[str, ...], tie_breaks: tuple[
     stored = docs.sparkSession.read.schema(words.schema).parquet(f"{path}/postings")
     stored.select("token").distinct().write.mode("overwrite").parquet(f"{path}/vocabulary")
     roots = sorted({t.split(".")[0] for t in tie_breaks})
-    docs.select("id", "part", *roots).write.mode("overwrite").parquet(f"{path}/documents")
+    docs.select("id", *roots).write.mode("overwrite").parquet(f"{path}/documents")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -196,7 +195,7 @@ def search_batch(
     of all documents does not meet in one task.
     """
     keys = [f"tie_{i}" for i in range(len(tie_breaks))]
-    ties = docs.filter("part = 0").select(
+    ties = docs.select(
         F.col("id").alias("doc_id"), *[F.col(t).alias(k) for t, k in zip(tie_breaks, keys)]
     )
     order = [

@@ -72,7 +72,7 @@ def page(entity: Entity, cat: Catalog, after: str = NIL_GID, size: int = 100, **
     The page is cut from the entity table before any document is assembled; its ids then restrict every child table.
     """
     ids = documented(entity, cat).filter(F.col("gid") > after).orderBy("gid").limit(size).select("id")
-    return entity.build(cat, ids=written(ids), **options).orderBy("id", "part")
+    return entity.build(cat, ids=written(ids), **options).orderBy("id")
 
 
 def ids_of(entity: Entity, cat: Catalog, gids: DataFrame) -> DataFrame:

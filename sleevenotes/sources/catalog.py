@@ -34,19 +34,28 @@ def load_catalog(
     return {t: spark.read.schema(CATALOG[t]).parquet(f"{path}/{t}") for t in kept_tables(keep_tables, keep_schemas)}
 
 
+def is_imported(spark: SparkSession, path: str) -> bool:
+    """Whether a table's write has finished: the committer leaves its marker last."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def import_catalog(
     tables: Mapping[str, DataFrame], path: str, keep_tables: Collection[str] = (), keep_schemas: Collection[str] = ()
 ) -> None:
-    """First import: write each kept table that is not there yet; what exists is left alone.
+    """First import: write each kept table that is not there yet; what exists is left alone. A table whose write has not
+    finished is not there.
 
     The tables are independent jobs, several of which run at a time so that small ones do not wait for large ones.
     """
 
     def write(name: str) -> None:
         rows = tables[name]
+        if is_imported(rows.sparkSession, f"{path}/{name}"):
+            return
         if name in PAGED:
             rows = rows.repartitionByRange("gid").sortWithinPartitions("gid")
-        rows.write.mode("ignore").parquet(f"{path}/{name}")
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
     wanted = [t for t in kept_tables(keep_tables, keep_schemas) if t in tables]
     with ThreadPoolExecutor(max_workers=IMPORTS_AT_ONCE) as pool:

@@ -103,7 +103,7 @@ def changes(spark, *rows):
 
 
 def as_json(docs):
-    """Documents as ``{id: text}``; several parts of a document are not expected."""
+    """Documents as ``{id: text}``."""
     from sleevenotes.sources.documents import encode_json
 
     return {r.id: r.json for r in encode_json(docs).collect()}

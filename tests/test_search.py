@@ -21,8 +21,8 @@ def distance(a, b):
 
 
 def documents(spark, *names):
-    rows = [(n, n, [], (None, None), 0) for n in names]
-    return spark.createDataFrame(rows, "id string, name string, more array<string>, rating struct<Count: int, Value: double>, part int")
+    rows = [(n, n, [], (None, None)) for n in names]
+    return spark.createDataFrame(rows, "id string, name string, more array<string>, rating struct<Count: int, Value: double>")
 
 
 def found(spark, names, query, limit=10):
