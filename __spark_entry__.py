@@ -22,7 +22,7 @@ from sleevenotes.operators import lookup as L  # noqa: E402
 from sleevenotes.operators import release as E  # noqa: E402
 from sleevenotes.operators import search as Q  # noqa: E402
 from sleevenotes.operators import sync as Y  # noqa: E402
-from sleevenotes.plans.entity import ALBUM, ARTIST, documents_of, incremental_build, page  # noqa: E402
+from sleevenotes.plans.entity import ALBUM, ARTIST, bulk_build, documents_of, incremental_build, page  # noqa: E402
 from sleevenotes.schemas import ARTIST_DOC, CATALOG  # noqa: E402
 from sleevenotes.sources.catalog import kept_tables  # noqa: E402
 from sleevenotes.sources.documents import DocumentStore, decode_json, encode_json, upsert  # noqa: E402
@@ -216,7 +216,7 @@ def release_value(cat: DriverCatalog, children: dict[str, Child], value: Column,
 
 
 def release_date(cat: DriverCatalog) -> DataFrame:
-    return release_value(cat, {"date": E.release_date(cat)}, F.col("date.date").cast("string"), "releasedate")
+    return release_value(cat, {"date": E.release_date(cat)}, S.date_text(F.col("date.date")), "releasedate")
 
 
 def release_track_count(cat: DriverCatalog) -> DataFrame:
@@ -341,6 +341,31 @@ def incremental_sync(cat: DriverCatalog) -> DataFrame:
     return rebuilt({e.name: incremental_build(e, cat, due) for e in (ARTIST, ALBUM)})
 
 
+def empty_stores(spark: SparkSession, cat: DriverCatalog, folder: str) -> dict[str, DocumentStore]:
+    stores = {}
+    for entity in (ARTIST, ALBUM):
+        none = entity.build(cat, ids=cat[entity.name].select("id").limit(0))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in none.schema.fields)
+        stores[entity.name] = DocumentStore(spark, f"{folder}/{entity.index}", schema)
+    return stores
+
+
+def held_ids(stores: dict[str, DocumentStore]) -> DataFrame:
+    return reduce(
+        DataFrame.unionByName, [s.current().select(F.lit(e).alias("entity"), F.col("id").alias("gid")) for e, s in stores.items()]
+    )
+
+
+def bulk_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored and marked as of the middle change: what is held, and what later changes leave open."""
+    cat, folder = catalog(spark, sf_dir), shared_folder(spark)
+    middle = cat.inputs["events"].agg(F.max("event_id")).first()[0] // 2
+    stores = empty_stores(spark, cat, folder)
+    marks = [bulk_build(e, cat, stores[e.name], middle, F.timestamp_seconds(F.lit(0))) for e in (ARTIST, ALBUM)]
+    state = Y.sync_state(Y.flag_entities(C.affected(changes(cat), cat)), reduce(DataFrame.unionByName, marks))
+    return held_ids(stores).join(state, ["entity", "gid"]).select("entity", "gid", "sync")
+
+
 def docs_unsynced(entity: object, flat: Callable[[DataFrame], DataFrame]) -> Callable[[DriverCatalog], DataFrame]:
     """Documents of the entities that the event logs leave open."""
     return lambda cat: flat(incremental_build(entity, cat, state(cat))[0])
@@ -380,16 +405,12 @@ def stream_incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drain the feed against stores that start empty: what it holds then is what the changes touched."""
     folder = shared_folder(spark)
     cat = catalog(spark, sf_dir)
-    stores = {}
+    stores = empty_stores(spark, cat, folder)
     for entity in (ARTIST, ALBUM):
-        none = entity.build(cat, ids=cat[entity.name].select("id").limit(0))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in none.schema.fields)
-        stores[entity.name] = DocumentStore(spark, f"{folder}/{entity.index}", schema)
-        stores[entity.name].write_base(none)
+        stores[entity.name].write_base(entity.build(cat, ids=cat[entity.name].select("id").limit(0)))
     X.stream_incremental_sync(streamed_changes(spark, sf_dir), cat, stores, folder).awaitTermination()
     state = Y.sync_state(X.read_log(spark, folder, "flags"), X.read_log(spark, folder, "synced"))
-    held = [s.current().select(F.lit(e).alias("entity"), F.col("id").alias("gid")) for e, s in stores.items()]
-    present = reduce(DataFrame.unionByName, held).withColumn("present", F.lit(True))
+    present = held_ids(stores).withColumn("present", F.lit(True))
     return state.join(present, ["entity", "gid"], "left").select(
         "entity", "gid", "sync", "flagged", F.coalesce("present", F.lit(False)).alias("present")
     )
@@ -449,6 +470,22 @@ def search_all(cat: DriverCatalog) -> DataFrame:
     return Q.search_all(index(cat, ARTIST), index(cat, ALBUM), search_queries(cat))
 
 
+def search_items(cat: DriverCatalog) -> DataFrame:
+    """The joint hits with their documents."""
+    artists, albums = index(cat, ARTIST), index(cat, ALBUM)
+    hits = written(Q.search_all(artists, albums, search_queries(cat)))
+
+    def found(entity: object, kind: str) -> DataFrame:
+        ids = hits.filter(F.col("kind") == kind).select(F.col("doc_id").alias("gid")).distinct()
+        return documents_of(entity, cat, written(ids))
+
+    items = Q.items(hits, found(ARTIST, "artist"), found(ALBUM, "album"))
+    return items.select(
+        "query_id", "position", "score", F.col("artist.id").alias("artist_id"), F.col("artist.artistname").alias("artistname"),
+        F.col("album.id").alias("album_id"), F.col("album.title").alias("title"),
+    )
+
+
 def gid_of(prefix: str, key: int) -> str:
     return f"{prefix}0000000-0000-4000-8000-{key:012d}"
 
@@ -589,6 +626,7 @@ def queries() -> dict[str, Query]:
         "affected_artists": over(affected("artist")),
         "affected_albums": over(affected("release_group")),
         "incremental_sync": over(incremental_sync),
+        "bulk_sync": bulk_sync,
         # streams
         "stream_apply_changes": stream_apply_changes,
         "stream_affected": stream_affected,
@@ -599,6 +637,7 @@ def queries() -> dict[str, Query]:
         "search_artists": search(ARTIST, "red widgit"),
         "search_albums": search(ALBUM, "large gizmo urgent"),
         "search_all": over(search_all),
+        "search_items": over(search_items),
         "search_batch": over(search_batch),
         # lookups
         "artist_by_id": over(lambda c: flat_artists(built(ARTIST, c, c["artist"].filter(F.col("gid") == gid_of("a", 7))))),

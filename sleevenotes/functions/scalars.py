@@ -28,10 +28,10 @@ def rating(count: Column, value: Column) -> Column:
 
 def full_date(year: Column, month: Column, day: Column) -> Column:
     """The date of three parts; null when a part is missing or the date does not exist."""
-    in_range = year.between(1, 9999) & month.between(1, 12) & day.between(1, 31)
+    in_range = year.between(1, 32767) & month.between(1, 12) & day.between(1, 31)
     text = F.concat_ws(
         "-",
-        F.lpad(year.cast("string"), 4, "0"),
+        F.when(year > 9999, year.cast("string")).otherwise(F.lpad(year.cast("string"), 4, "0")),
         F.lpad(month.cast("string"), 2, "0"),
         F.lpad(day.cast("string"), 2, "0"),
     )
@@ -49,6 +49,11 @@ def partial_date(year: Column, month: Column, day: Column) -> Column:
     return F.coalesce(full_date(year, month, day), filled_date(year, month, day))
 
 
+def date_text(date: Column) -> Column:
+    """The date as text; years of five digits have no sign."""
+    return F.ltrim(date.cast("string"), F.lit("+"))
+
+
 def initcap_words(text: Column) -> Column:
     """Upper-case the start of every alphanumeric run (``hip-hop`` -> ``Hip-Hop``).
 
@@ -67,11 +72,6 @@ def link_type(url: Column) -> Column:
     return F.split_part(F.regexp_replace(host, r"^www\.", ""), F.lit("."), F.lit(1))
 
 
-def link(url: Column) -> Column:
-    """Link entry. By the document format ``target`` holds the site and ``type`` the address."""
-    return F.struct(link_type(url).alias("target"), url.alias("type"))
-
-
 def cover_url(release_id: Column, image_id: Column) -> Column:
     return F.concat(F.lit(COVER_ART_URL), release_id, F.lit("/"), image_id.cast("string"))
 

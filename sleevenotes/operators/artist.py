@@ -127,7 +127,7 @@ def led_groups(cat: Catalog, artist_ids: DataFrame | None = None) -> DataFrame:
 
 def group_release_date(stats: str) -> Column:
     year, month, day = (F.col(f"{stats}.first_release_date_{p}") for p in ("year", "month", "day"))
-    return S.partial_date(year, month, day).cast("string")
+    return S.date_text(S.partial_date(year, month, day))
 
 
 def album_light(cat: Catalog, artist_ids: DataFrame | None = None) -> DataFrame:

@@ -155,7 +155,7 @@ def release_docs(cat: Catalog, group_ids: DataFrame | None = None, ids: DataFram
         "Title",
         "Disambiguation",
         "Status",
-        F.col("date.date").cast("string").alias("Releasedate"),
+        S.date_text(F.col("date.date")).alias("Releasedate"),
         "Label",
         "Country",
         "Media",

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.assemble import within
 from ..operators.album import album_docs
 from ..operators.artist import Catalog, artist_docs
-from ..operators.sync import unsynced
+from ..operators.sync import mark_synced, unsynced
+from ..sources.documents import DocumentStore
 from ..sources.work import written
 
 NIL_GID = "00000000-0000-0000-0000-000000000000"
@@ -52,11 +53,6 @@ ALBUM = Entity(
 ENTITIES = (ARTIST, ALBUM)
 
 
-def full_build(entity: Entity, cat: Catalog, **options: object) -> DataFrame:
-    """All documents of a family, in one job."""
-    return entity.build(cat, **options)
-
-
 def documented(entity: Entity, cat: Catalog) -> DataFrame:
     """``(id, gid)`` of the entities that have a document: all artists, and release groups with a lead artist."""
     rows = cat[entity.name]
@@ -75,6 +71,16 @@ def page(entity: Entity, cat: Catalog, after: str = NIL_GID, size: int = 100, **
     return entity.build(cat, ids=written(ids), **options).orderBy("id")
 
 
+def bulk_build(entity: Entity, cat: Catalog, store: DocumentStore, seq: int, ts: Column, version: int = 0) -> DataFrame:
+    """Write all documents of a family as the store's base, then return their marks for the ``synced`` log.
+
+    ``seq`` and ``ts``: the last change that the tables hold. If the write fails, nothing is marked.
+    """
+    store.write_base(entity.build(cat), version)
+    done = documented(entity, cat).select(F.lit(entity.name).alias("entity"), "gid")
+    return mark_synced(done, F.lit(seq), ts)
+
+
 def ids_of(entity: Entity, cat: Catalog, gids: DataFrame) -> DataFrame:
     """Row ids of gids (column ``gid``)."""
     return within(cat[entity.name].select("id", "gid"), "gid", gids, "gid").select("id")

@@ -217,3 +217,9 @@ def test_store(spark, tmp_path):
     assert held() == expected
     store.write_delta(docs(("e", "4")), ids("a"), 3)
     assert held() == {("b", "2"), ("c", "3"), ("e", "4")}
+
+
+def test_years_of_five_digits(spark):
+    rows = [(12345, 6, 7), (9999, 12, 31), (32768, 1, 1), (2021, 2, 30)]
+    got = evaluate(spark, rows, "y int, m int, d int", S.date_text(S.full_date(F.col("y"), F.col("m"), F.col("d"))))
+    assert got == [("12345-06-07",), ("9999-12-31",), (None,), (None,)]
