@@ -387,9 +387,9 @@ def stream_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     catalog(spark, sf_dir)
     X.stream_latest(streamed_changes(spark, sf_dir), folder).awaitTermination()
-    rows = X.applied_rows(spark, folder)
-    return rows.filter(F.col("tbl").isin("artist", "release_group", "artist_meta", "tag", "url")).select(
-        "tbl", F.get_json_object("key", "$.id").cast("long").alias("key"), "op", "seq", "live"
+    # the feed's rows carry their key in every table, whatever the table knows them by
+    return X.applied_rows(spark, folder).select(
+        "tbl", F.get_json_object("row", "$.id").cast("long").alias("key"), "op", "seq", "live", "copies"
     )
 
 
