@@ -643,7 +643,9 @@ def queries() -> dict[str, Query]:
         "artist_by_id": over(lambda c: flat_artists(built(ARTIST, c, c["artist"].filter(F.col("gid") == gid_of("a", 7))))),
         "album_by_id": over(lambda c: flat_albums(built(ALBUM, c, c["release_group"].filter(F.col("gid") == gid_of("c", 7))))),
         "albums_by_ids": over(lambda c: flat_albums(built(ALBUM, c, wanted_albums(c)))),
-        "albums_by_recordings": over(lambda c: flat_albums(L.by_recordings(A.album_docs(c), wanted_recordings(c)))),
+        "albums_by_recordings": over(
+            lambda c: flat_albums(documents_of(ALBUM, c, L.albums_of_recordings(c, wanted_recordings(c))))
+        ),
         "filter_artists": over(
             lambda c: flat_artists(L.filter_by(R.artist_docs(c), ARTIST.filterable, genres="Red-Widget", status="active"))
         ),
