@@ -145,14 +145,33 @@ def local_search(bins: list[list[int]], lengths: list[int], limit: int) -> list[
         sums.pop(source), sums.pop(target)
         return True
 
+    table: dict[str, np.ndarray] = {}
+
+    def candidates(source: int) -> list[int]:
+        """The open bins with anything to exchange for some of the source, in their order."""
+        if not table:
+            entries = [
+                (n, b, kind) for b in open_bins for kind, found in enumerate((nothing, *sums_of(b))) for n in {n for n, _ in found}
+            ]
+            table["back"], table["bin"], table["kind"] = np.array(entries, np.int64).reshape(-1, 3).T
+            table["most"] = table["back"] + np.array(room, np.int64)[table["bin"]]
+        ones, twos = sums_of(source)
+        fits = np.zeros(len(table["back"]), bool)
+        for n in {n for n, _ in ones}:
+            fits |= (table["back"] < n) & (table["most"] >= n)
+        for n in {n for n, _ in twos}:
+            fits |= (table["kind"] == 1) & (table["back"] < n) & (table["most"] >= n)
+        found = set(table["bin"][fits].tolist())
+        return [b for b in open_bins if b in found]
+
     open_bins = sorted((b for b in range(len(bins)) if room[b] > 0), key=lambda b: room[b])
     total = sum(room[b] for b in open_bins)
     while len(open_bins) > 1:
         source = open_bins.pop()
         if total - room[source] < limit - room[source]:
             break
-        while any([step(source, target) for target in open_bins]):
-            pass
+        while any([step(source, target) for target in candidates(source)]):
+            table.clear()
         total -= room[source]
         open_bins = [b for b in open_bins if room[b] > 0]
     # all pairs of the emptiest bins, as long as a bin more than the least number is there
