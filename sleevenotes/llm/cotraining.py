@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sleevenotes.llm.language_crf import in_runs
+from sleevenotes.llm.text import drawn
 
 SAMPLE = 8_000
 ROUNDS = 4
@@ -174,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n = docs.count()
     if not n:
         return Model(None, None, None)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))
-    drawn = _views(docs.filter(F.col("doc_id").isNotNull() & draw), ["doc_id"])
+    draw = drawn(F.col("doc_id"), sample, n)
+    sampled = _views(docs.filter(F.col("doc_id").isNotNull() & draw), ["doc_id"])
     known = labels.filter(F.col("quality").isin(0, 1) & draw).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_pydict({"doc_id": ids, "features": pa.array(packed, pa.binary())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = drawn.mapInArrow(features, f"doc_id {kind}, features binary").join(known, "doc_id", "left")
+    rows = sampled.mapInArrow(features, f"doc_id {kind}, features binary").join(known, "doc_id", "left")
     spare = F.pmod(F.xxhash64("doc_id", F.lit("spare")), F.lit(4)) == 0
     found = rows.select("features", F.coalesce("quality", F.lit(-1)).alias("quality"), spare.alias("spare")).orderBy("features").limit(2 * sample).collect()
     if not found:

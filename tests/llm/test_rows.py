@@ -78,8 +78,11 @@ def test_kept_documents_keep_their_columns(spark):
 
 def test_trusted_ids_are_bounded_and_distinct(spark):
     labels = spark.createDataFrame([(k % 7, k % 2) for k in range(28)] + [(None, 1)], "doc_id long, quality int")
-    ids = [r.doc_id for r in quality_rules.trusted_ids(labels, 5).collect()]
-    assert len(ids) == len(set(ids)) == 5 and None not in ids
+    ids = [r.doc_id for r in quality_rules.trusted_ids(labels, 7).collect()]
+    assert sorted(ids) == list(range(7))
+    many = spark.range(4_000).selectExpr("id as doc_id", "1 as quality")
+    some = [r.doc_id for r in quality_rules.trusted_ids(many, 500).collect()]
+    assert len(some) == len(set(some)) and 400 < len(some) < 600
 
 
 # -- licences ----------------------------------------------------------------------------------------------------------
