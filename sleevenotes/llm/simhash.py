@@ -27,19 +27,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sleevenotes.llm.text import SPACES, ascii_lower, parts, positions
+from sleevenotes.llm.text import SPACES, ascii_lower, drawn, parts, positions
 from sleevenotes.sources.work import shared_folder, written
 
 SHINGLE = 3
 BITS = 3
-#: Fingerprints that the trees are fitted on, at most (and at most a quarter of all); 1 MB.
+#: Fingerprints that the trees are fitted on, about, if a quarter of all is more; 1 MB.
 SAMPLE = 131_072
 #: Distinct fingerprints that a leaf should own, about.
 LEAF = 8_192
 #: Up to so many are compared without a further split.
 BRUTE = 1_024
 GROUP = 64
-HASHES_AT_ONCE = 1 << 17
+HASHES_AT_ONCE = 1 << 14
 NO_ID = 1 << 62
 
 
@@ -71,7 +71,7 @@ def majority_bits(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         first, last = np.searchsorted(bounds, a, side="right") - 1, np.searchsorted(bounds, b, side="left")
         rows = np.arange(first, last)
         rows = rows[(bounds[rows + 1] > a) & (n[rows] > 0)]
-        ones[rows] += np.add.reduceat(bits, np.maximum(bounds[rows] - a, 0), axis=0, dtype=np.int64)
+        ones[rows] += np.add.reduceat(bits, np.maximum(bounds[rows] - a, 0), axis=0, dtype=np.int32)
     set_ = (2 * ones > n[:, None]).astype(np.uint8)
     return np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -231,7 +231,8 @@ def linker(bits: int) -> Callable[[tuple, pa.Table], pa.Table]:
 
 def linked_groups(distinct: DataFrame, n: int, bits: int = BITS) -> DataFrame:
     """Groups (group, fingerprint) whose members are connected; two fingerprints are connected exactly if groups connect them."""
-    rows = distinct.select("fingerprint").orderBy(F.xxhash64("fingerprint")).limit(min(SAMPLE, max(1, n // 4))).collect()
+    wanted = min(SAMPLE, max(1, n // 4))
+    rows = distinct.select("fingerprint").filter(drawn(F.col("fingerprint"), wanted, n)).limit(2 * wanted).collect()
     sample = np.array([r.fingerprint for r in rows], np.int64).view(np.uint64)
     trees = [fit_tree(halves(sample, side), LEAF / n) for side in (0, 1)]
 
