@@ -85,6 +85,16 @@ def test_trusted_ids_are_bounded_and_distinct(spark):
     assert len(some) == len(set(some)) and 400 < len(some) < 600
 
 
+def test_all_trusted_ids_count(spark, monkeypatch):
+    many = spark.range(50_000).selectExpr("id as doc_id", "1 as quality")
+    assert quality_rules.trusted_ids(many).count() == 50_000
+    docs = odd_documents(spark).select("doc_id", "text")
+    labels = spark.createDataFrame([(k, 1) for k in (0, 1, 6, 20, 21, 22, 23, 24, 999)] * 2 + [(25, 0), (None, 1)], "doc_id int, quality int")
+    whole = quality_rules.bucket_weights(docs, quality_rules.trusted_ids(labels))
+    monkeypatch.setattr(quality_rules, "BLOCK", 2)
+    assert quality_rules.bucket_weights(docs, quality_rules.trusted_ids(labels)) == whole and any(whole)
+
+
 # -- licences ----------------------------------------------------------------------------------------------------------
 
 
