@@ -5,7 +5,8 @@ documents it is surest of, good and bad in the proportion of the labels, and the
 documents that no classifier has seen calibrate each view's log-odds and weigh the two against each other; the weighted sum is
 the score of every document.
 
-Fitting uses a bounded sample: the documents whose id has the smallest hashes, about SAMPLE in all. Only their features reach the driver (SAMPLE
+Fitting uses bounded samples, each of the documents whose id has the smallest hashes: of either kind of labelled documents SAMPLE / 2, or all
+where there are fewer, however many documents have no label; and about SAMPLE unlabelled ones. Only their features reach the driver (4 * SAMPLE
 rows of TEXT_FEATURES + META_FEATURES numbers at most). Scoring reads every document and its whole text, in one pass without a shuffle.
 
 Defined cases: null or empty text has the features of a text without words; null metadata count as a value of their own, and
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from sleevenotes.llm.language_crf import in_runs
 from sleevenotes.llm.text import drawn
+from sleevenotes.sources.work import written
 
 SAMPLE = 8_000
 ROUNDS = 4
@@ -128,12 +130,12 @@ class Model:
         return sure(self.calibrated.odds(np.clip(views, -30, 30))), sure(views[:, 0]), sure(views[:, 1])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, spare: np.ndarray) -> Model:
-    """labels: 1, 0, or -1 for none. spare: labelled rows that only calibrate."""
+def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, spare: np.ndarray, good_share: float | None = None) -> Model:
+    """labels: 1, 0, or -1 for none. spare: labelled rows that only calibrate. good_share: of all labels, if the rows are a sample by kind."""
     known, pool = (labels >= 0) & ~spare, np.flatnonzero(labels < 0)
     if len(set(labels[known])) < 2 or len(set(labels[spare & (labels >= 0)])) < 2:
         return Model(None, None, None)
-    good_share = labels[known].mean()
+    good_share = labels[known].mean() if good_share is None else good_share
     views = (text, meta)
     taught = [labels.copy(), labels.copy()]
     for view in taught:
@@ -171,13 +173,19 @@ def _both(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from about ``sample`` documents, labelled and not."""
+    """Learn from about ``sample`` labelled documents, and about as many without a label."""
     n = docs.count()
     if not n:
         return Model(None, None, None)
-    draw = drawn(F.col("doc_id"), sample, n)
-    sampled = _views(docs.filter(F.col("doc_id").isNotNull() & draw), ["doc_id"])
-    known = labels.filter(F.col("quality").isin(0, 1) & draw).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    with_id = docs.filter(F.col("doc_id").isNotNull())
+    labelled = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    known = written(labelled.join(with_id.select("doc_id").distinct(), "doc_id", "left_semi"))
+    times = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
+    if len(times) < 2:
+        return Model(None, None, None)
+    of_kind = [(F.col("quality") == q) & drawn(F.col("doc_id"), sample // 2, times[q]) for q in (0, 1)]
+    chosen = known.filter(of_kind[0] | of_kind[1])
+    pool = with_id.filter(drawn(F.col("doc_id"), sample, n - sum(times.values())))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,14 +195,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_pydict({"doc_id": ids, "features": pa.array(packed, pa.binary())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sampled.mapInArrow(features, f"doc_id {kind}, features binary").join(known, "doc_id", "left")
+    schema = f"doc_id {kind}, features binary"
+    taught = _views(with_id.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"), ["doc_id"]).mapInArrow(features, schema)  # SAMPLE rows, about
     spare = F.pmod(F.xxhash64("doc_id", F.lit("spare")), F.lit(4)) == 0
-    found = rows.select("features", F.coalesce("quality", F.lit(-1)).alias("quality"), spare.alias("spare")).orderBy("features").limit(2 * sample).collect()
+    found = []
+    for rows in (
+        taught.join(chosen, "doc_id"),
+        _views(pool, ["doc_id"]).mapInArrow(features, schema).join(known, "doc_id", "left_anti").withColumn("quality", F.lit(-1)),
+    ):
+        found += rows.select("features", "quality", spare.alias("spare")).orderBy("features").limit(2 * sample).collect()
     if not found:
         return Model(None, None, None)
     x = np.stack([np.frombuffer(r.features, np.float32) for r in found])
     y, s = np.array([r.quality for r in found]), np.array([r.spare for r in found])
-    return co_train(x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:], y, s)
+    return co_train(x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:], y, s, times[1] / (times[0] + times[1]))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -293,3 +293,13 @@ def test_cotraining_with_odd_rows(spark):
     assert cotraining.scored(no_documents(spark), cotraining.fit(no_documents(spark), labels)).count() == 0
     bare = texts(spark, [(1, None), (2, LONG), (3, prose(1))])
     assert cotraining.scored(bare, cotraining.fit(bare, labels)).count() == 3
+
+
+def test_cotraining_learns_from_few_labels_among_many_documents(spark, monkeypatch):
+    docs = spark.range(3_000).selectExpr("id as doc_id", "if(id % 2 = 0, 'a tidy text of words', '#$ %% @@ !!') as text")
+    labels = spark.range(40).selectExpr("id as doc_id", "cast(1 - id % 2 as int) as quality")
+    seen, co_train = [], cotraining.co_train
+    monkeypatch.setattr(cotraining, "co_train", lambda *a: seen.append(a[2]) or co_train(*a))
+    model = cotraining.fit(docs, labels, sample=100)
+    assert (seen[0] == 1).sum() == (seen[0] == 0).sum() == 20 and 50 < (seen[0] < 0).sum() < 200
+    assert {(r.doc_id % 2, r.kept) for r in cotraining.scored(docs, model).collect()} == {(0, True), (1, False)}
