@@ -5,20 +5,24 @@ it (cost MERGE), get another role (RELABEL; RENAME for a role that is none of th
 The cheapest repair is a shortest path through the automaton whose state is the role of the last turn, found by dynamic programming.
 
 Costs of a run of turns, from each state before it to each state after it, form a small matrix, and runs join by the (min, +)
-product. So a conversation is cut into blocks of BLOCK turn numbers: one pass makes the blocks' matrices, the matrices (16 numbers a
-block) decide each block's states at both ends, a second pass traces each block's own path. No task holds more of a long
-conversation than a block and the matrices. The result has one row per segment, and the segments of a
-conversation in the order of (block, place) are its rendered text.
+product. So all turns are sorted over the cluster and cut into blocks of at most BLOCK rows of one conversation: one pass makes the blocks'
+matrices, the matrices (16 numbers a block) decide each block's states at both ends, a second pass traces each block's own path. The
+order ends with a number of the row, so equal turns and rows without conversation id spread over tasks and blocks like others. No task
+holds more of a long conversation than a block and the matrices. The result has one row per segment, and the segments of a
+conversation in the order of (block, place) are its rendered text; block numbers ascend but have gaps.
 
 Defined cases: null text is empty; null or unknown roles are renamed; roles are compared without case and surrounding blanks; rows without conversation id form
 one conversation; rows without turn number come last, in the order of their texts' hashes; equal turn numbers are ordered by role,
-then text; repeated rows are turns of their own. Among repairs of equal cost: keep before merge before insertion, and system,
+then the first PREFIX characters of the text, then its hash; repeated rows are turns of their own. Among repairs of equal cost: keep before merge before insertion, and system,
 user, assistant in this order. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +31,10 @@ from sleevenotes.sources.work import shared_folder, written
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 MERGE, RELABEL, RENAME, INSERT = 2, 4, 1, 3
+#: Rows of a block at most.
 BLOCK = 256
+#: Characters of a text that order equal turns.
+PREFIX = 128
 NEVER = 1 << 40
 #: States that may directly come before a turn of each role.
 BEFORE = {SYSTEM: (START,), USER: (START, SYSTEM, ASSISTANT), ASSISTANT: (USER,)}
@@ -106,16 +113,27 @@ def best_states(matrices: list[list[int]]) -> tuple[int, list[tuple[int, int]]]:
     return total, ends[::-1]
 
 
-def _sorted_rows(table: pa.Table) -> tuple[list, list[int], list[str]]:
-    rows = sorted(
-        zip(*(table.column(c).to_pylist() for c in ("turn", "hash", "role", "text")), strict=True),
-        key=lambda r: (r[0] is None, r[0] if r[0] is not None else r[1], r[2] or "", r[3] or ""),
-    )
-    return [r[0] for r in rows], [role_number(r[2]) for r in rows], [r[3] or "" for r in rows]
+def numbered(size: int):
+    """Adds block and at (the place in its block) to the sorted rows of a partition."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, at, before = (TaskContext.get().partitionId() << 40) - 1, size, None
+        for batch in batches:
+            blocks, places = [], []
+            for conv in batch.column("conv_id").to_pylist():
+                if at == size or conv != before:
+                    block, at, before = block + 1, 0, conv
+                blocks.append(block)
+                places.append(at)
+                at += 1
+            columns = [batch.column(c) for c in ("conv_id", "turn", "role", "text")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(blocks, pa.int64()), pa.array(places, pa.int32())], ["conv_id", "turn", "role", "text", "block", "at"])
+
+    return number
 
 
 def _matrix(key: tuple, table: pa.Table) -> pa.Table:
-    _, roles, _ = _sorted_rows(table)
+    roles = [role_number(r) for r in table.sort_by("at").column("role").to_pylist()]
     return pa.table({"conv_id": [key[0].as_py()], "block": [key[1].as_py()], "matrix": [transfer(roles)]}, schema=MATRIX)
 
 
@@ -143,7 +161,9 @@ def header(role: int, first: bool) -> str:
 
 
 def _rendered(key: tuple, table: pa.Table) -> pa.Table:
-    turns, roles, texts = _sorted_rows(table)
+    table = table.sort_by("at")
+    turns, texts = table.column("turn").to_pylist(), [t or "" for t in table.column("text").to_pylist()]
+    roles = [role_number(r) for r in table.column("role").to_pylist()]
     entry, leave, last, cost = (table.column(c)[0].as_py() for c in ("entry", "leave", "last", "cost"))
     out, fresh = [], entry == START
 
@@ -169,13 +189,20 @@ def _rendered(key: tuple, table: pa.Table) -> pa.Table:
 def repaired(conversations: DataFrame) -> DataFrame:
     """One row per segment: conv_id, block, place, turn (null: inserted), role, action, segment, cost (of the whole conversation)."""
     folder = shared_folder(conversations.sparkSession)
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    turns = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", text_hash.alias("hash")
-    ).withColumn(
-        "block", F.when(F.col("turn").isNull(), F.lit(1 << 60) + F.shiftright("hash", 44)).otherwise(F.floor(F.col("turn") / BLOCK))
+    text = F.coalesce("text", F.lit(""))
+    rows = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text",
+        F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"),
+    )
+    order = (
+        F.col("conv_id"), F.col("turn").isNull(), F.coalesce("turn", "hash"), F.coalesce("role", F.lit("")), F.substring(text, 1, PREFIX),
+        F.col("hash"), F.col("row"),
+    )
+    kinds = "conv_id long, turn long, role string, text string, block long, at int"
+    turns = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(numbered(BLOCK), kinds), folder)
+    matrices = turns.select("conv_id", "block", "at", "role").groupBy("conv_id", "block").applyInArrow(
+        _matrix, "conv_id long, block long, matrix array<long>"
     )
-    matrices = turns.groupBy("conv_id", "block").applyInArrow(_matrix, "conv_id long, block long, matrix array<long>")
     states = written(
         written(matrices, folder).groupBy("conv_id").applyInArrow(
             _ends, "conv_id long, block long, entry int, leave int, last boolean, cost long"
@@ -186,5 +213,3 @@ def repaired(conversations: DataFrame) -> DataFrame:
     return turns.join(states, same).drop("c", "b").groupBy("conv_id", "block").applyInArrow(
         _rendered, "conv_id long, block long, place int, turn long, role string, action string, segment string, cost long"
     )
-
-

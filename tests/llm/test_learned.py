@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -215,6 +216,19 @@ def test_repaired(spark, block, monkeypatch):
     assert chat_repair.repaired(frame.limit(0)).count() == 0
 
 
+def test_blocks_of_equal_turns_and_of_rows_without_conversation_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(chat_repair, "BLOCK", 8)
+    rows = [(None, k % 3, "user", f"text {k}") for k in range(100)] + [(1, 5, "user", "equal")] * 50
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = [r for r in chat_repair.repaired(frame).collect() if r.action != "insert"]
+    sizes = Counter((r.conv_id, r.block) for r in out)
+    assert len(out) == 150 and max(sizes.values()) <= 8
+    for conv, n in ((None, 100), (1, 50)):
+        own = sorted((r for r in out if r.conv_id == conv), key=lambda r: (r.block, r.place))
+        assert len(own) == n and [r.turn for r in own] == sorted(r.turn for r in own)
+        assert {r.cost for r in own} == {chat_repair.best_states([chat_repair.transfer([chat_repair.USER] * n)])[0]}
+
+
 # -- language ------------------------------------------------------------------------------------------------------------
 
 
