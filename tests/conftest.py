@@ -3,11 +3,12 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
-from sleevenotes.session import local_session  # noqa: E402
+from places import SF  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
+from sleevenotes.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SF
+from places import SF
 
 import __spark_entry__ as registered
 
