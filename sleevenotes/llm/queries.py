@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleevenotes.llm import chat_repair, cotraining, decontaminate, language_crf, licences, packing, quality_rules, simhash, token_files, url_rules
+from sleevenotes.llm import chat_repair, cotraining, decontaminate, language_crf, licences, packing, quality_rules, simhash, token_files, url_rules, whitening
 from sleevenotes.llm.decontaminate_sql import DECONTAMINATE_SQL
 from sleevenotes.llm.licence_sql import LICENCE_SQL
 from sleevenotes.llm.quality_sql import QUALITY_SQL
@@ -83,6 +83,10 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, URL_RULES), default="allow")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -96,6 +100,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_cotraining,
         op9_chat_repair,
         op10_language_crf,
+        op12_embedding_whitening,
     )
 }
 ORACLE_SQL: dict[str, str] = {

@@ -10,7 +10,6 @@ import pandas as pd
 import pytest
 import xxhash
 from cases import DOCS, LONG, no_documents, odd_documents, prose, texts
-from conftest import ROOT  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
