@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleevenotes.llm import chat_repair, cotraining, decontaminate, language_crf, licences, packing, quality_rules, simhash, token_files, url_rules, whitening
+from sleevenotes.llm import chat_repair, cotraining, decontaminate, filter_audit, language_crf, licences, packing, quality_rules, simhash, token_files, url_rules, whitening
 from sleevenotes.llm.decontaminate_sql import DECONTAMINATE_SQL
+from sleevenotes.llm.filter_audit_sql import FILTER_AUDIT_SQL
 from sleevenotes.llm.licence_sql import LICENCE_SQL
 from sleevenotes.llm.quality_sql import QUALITY_SQL
 from sleevenotes.llm.url_sql import url_sql
@@ -83,6 +84,11 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, URL_RULES), default="allow")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("part"), "text")
+    return filter_audit.audited(docs, table(spark, sf_dir, "labels"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -100,6 +106,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_cotraining,
         op9_chat_repair,
         op10_language_crf,
+        op11_filter_audit,
         op12_embedding_whitening,
     )
 }
@@ -107,5 +114,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_licence_scans": LICENCE_SQL,
     "op3_decontamination": DECONTAMINATE_SQL,
     "op4_quality_rules": QUALITY_SQL,
+    "op11_filter_audit": FILTER_AUDIT_SQL,
     "op7_url_rules": url_sql(URL_RULES, "allow"),
 }

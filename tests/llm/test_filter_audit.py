@@ -1,0 +1,110 @@
+"""The filter audit against plain Python and SQL, and its matrix against counted words."""
+
+import re
+from collections import Counter
+from itertools import permutations
+
+import duckdb
+import pytest
+from cases import LONG, no_documents, odd_documents, prose
+
+from sleevenotes.llm import filter_audit, queries
+from sleevenotes.llm.filter_audit_sql import FILTER_AUDIT_SQL
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_audit(docs, labels):
+    good = {i for i, q, _ in labels if q == 1} - {None}
+    toxic = {i for i, _, t in labels if t == 1} - {None}
+    rows = []
+    for doc_id, part, text in docs:
+        text = text or ""
+        w = WORD.findall(text)
+        copy = doc_id is not None and any(i is not None and i < doc_id and (t or "") == text for i, _, t in docs)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", text)) > 2 * len(text),
+                 "D": bool(re.search(r"[#$%&*|]", text)), "E": copy}
+        rows.append((part or "", {f for f, v in fails.items() if v}, doc_id in good, doc_id in toxic))
+    out = {}
+    for part in {r[0] for r in rows}:
+        own = [r[1:] for r in rows if r[0] == part]
+        shapley = Counter()
+        for order in permutations("ABCDE"):
+            left = own
+            for k, f in enumerate(order):
+                gone, before = [r for r in left if f in r[0]], set(order[:k])
+                left = [r for r in left if f not in r[0]]
+                shapley[f] += len(gone)
+                out[part, "".join(order), k + 1] = [
+                    len(left), len(gone), sum(f in r[0] and bool(r[0] & before) for r in own), sum(r[0] == {f} for r in own),
+                    sum(r[1] for r in gone), sum(r[2] for r in gone),
+                ]
+        for order in permutations("ABCDE"):
+            for k, f in enumerate(order):
+                out[part, "".join(order), k + 1].append(shapley[f])
+    return out
+
+
+def as_dict(df):
+    rows = df.collect()
+    out = {(r.part, r.filter_order, r.step): [r[c] for c in filter_audit.COUNTS] for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    good = " ".join(f"alpha{k}" for k in range(250))
+    more = [(k, good, "en", "hot", 1, *[None] * 6) for k in range(60, 75)] + [(90, "$ " + LONG, "en", "hot", 1, *[None] * 6)]
+    return odd_documents(spark).unionAll(spark.createDataFrame(more, odd_documents(spark).schema))
+
+
+LABELS = [(0, 1, 0), (0, 0, 1), (1, None, 1), (6, 1, None), (62, 1, 1), (70, 1, 0), (None, 1, 1), (90, 1, 0), (1234, 1, 1)]
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_orders_are_those_of_plain_python(spark, odd, partitions):
+    docs = odd.selectExpr("doc_id", "source as part", "text")
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    out = as_dict(filter_audit.audited(docs.repartition(partitions), labels))
+    assert out == plain_audit([tuple(r) for r in docs.collect()], LABELS)
+    assert as_dict(filter_audit.audited(docs.limit(0), labels)) == {}
+    assert {p for p, *_ in as_dict(filter_audit.audited(docs, labels.limit(0)))} == {p for p, *_ in out}
+    assert filter_audit.audited(no_documents(spark).selectExpr("doc_id", "source as part", "text"), labels).count() == 0
+
+
+def test_query_is_its_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = con.sql(FILTER_AUDIT_SQL)
+    want = {tuple(r[:3]): list(r[3:]) for r in found.fetchall()}
+    df = queries.op11_filter_audit(spark, SF)
+    assert df.columns == found.columns and as_dict(df) == want and len(want) % 600 == 0
+
+
+def test_matrix_is_that_of_counted_words(spark, odd, tmp_path):
+    docs = odd.selectExpr("doc_id", "source as part", "text").repartition(3)
+    rows = filter_audit.csr_shards(docs).collect()
+    folder = str(tmp_path)
+    words = filter_audit.local_shards(docs).filter("word is not null")
+    columns = {r.word: r.column for r in filter_audit.dictionary(words, folder).collect()}
+    assert sorted(columns.values()) == list(range(len(columns)))
+    totals = Counter()
+    for r in rows:
+        assert len(set(r.columns)) == len(r.columns) == r.n_distinct and sum(r.counts) == r.n_words
+        totals.update(dict(zip(r.columns, r.counts)))
+    want = Counter(w for r in docs.collect() for w in WORD.findall(r.text or ""))
+    assert sorted(totals.values()) == sorted(want.values()) and len(want) == len(columns)
+
+
+def test_shards_are_bounded():
+    shard = filter_audit.Shard(1)
+    for k in range(filter_audit.SHARD_DOCS):
+        assert not shard.full()
+        shard.add(b"")
+    assert shard.full()
+    shard = filter_audit.Shard(1)
+    shard.add(prose(1).encode() * (filter_audit.SHARD_BYTES // 500))
+    assert shard.full() and sum(shard.counts) == len(WORD.findall(prose(1) * (filter_audit.SHARD_BYTES // 500)))
