@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleevenotes.llm import chat_repair, cotraining, decontaminate, filter_audit, language_crf, licences, packing, quality_rules, simhash, token_files, url_rules, whitening
+from sleevenotes.llm import chat_repair, cotraining, decontaminate, filter_audit, language_crf, licences, packing, pii, quality_rules, simhash, token_files, url_rules, whitening
 from sleevenotes.llm.decontaminate_sql import DECONTAMINATE_SQL
 from sleevenotes.llm.filter_audit_sql import FILTER_AUDIT_SQL
 from sleevenotes.llm.licence_sql import LICENCE_SQL
@@ -93,6 +93,16 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.documents_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: ~s.added)
+    kinds = F.transform(base, lambda s: s.kind)
+    counts = [(F.size(base) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans")
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -108,6 +118,7 @@ QUERIES: dict[str, Query] = {
         op10_language_crf,
         op11_filter_audit,
         op12_embedding_whitening,
+        op13_pii,
     )
 }
 ORACLE_SQL: dict[str, str] = {
