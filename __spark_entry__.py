@@ -439,9 +439,22 @@ def search_documents(cat: DriverCatalog, entity: object) -> DataFrame:
     )
 
 
-def index(cat: DriverCatalog, entity: object) -> tuple[DataFrame, DataFrame]:
-    docs = search_documents(cat, entity)
-    return Q.postings(docs, entity.searchable), docs
+def posted(entity: object) -> Callable[[DriverCatalog], DataFrame]:
+    return lambda cat: Q.postings(search_documents(cat, entity), entity.searchable)
+
+
+@lru_cache(maxsize=8)
+def _stored_index(spark: SparkSession, application: str, sf_dir: str, name: str) -> Q.Index:
+    entity = ARTIST if name == ARTIST.name else ALBUM
+    path = f"{shared_folder(spark)}/{entity.index}"
+    Q.write_index(search_documents(_catalog(spark, application, sf_dir), entity), entity.searchable, entity.tie_breaks, path)
+    return Q.read_index(spark, path)
+
+
+def index(spark: SparkSession, sf_dir: str, entity: object) -> Q.Index:
+    """The stored index over an entity's searchable fields; it is written by the first search of a session."""
+    catalog(spark, sf_dir)
+    return _stored_index(spark, spark.sparkContext.applicationId, sf_dir, entity.name)
 
 
 def search_queries(cat: DriverCatalog) -> DataFrame:
@@ -455,25 +468,23 @@ def one_query(spark: SparkSession, text: str) -> DataFrame:
 
 def search(entity: object, text: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        postings, docs = index(catalog(spark, sf_dir), entity)
-        return Q.search_batch(postings, docs, one_query(spark, text), 10, entity.tie_breaks)
+        return Q.search_batch(index(spark, sf_dir, entity), one_query(spark, text), 10, entity.tie_breaks)
 
     return run
 
 
-def search_batch(cat: DriverCatalog) -> DataFrame:
-    postings, docs = index(cat, ALBUM)
-    return Q.search_batch(postings, docs, search_queries(cat), 10, ALBUM.tie_breaks)
+def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.search_batch(index(spark, sf_dir, ALBUM), search_queries(catalog(spark, sf_dir)), 10, ALBUM.tie_breaks)
 
 
-def search_all(cat: DriverCatalog) -> DataFrame:
-    return Q.search_all(index(cat, ARTIST), index(cat, ALBUM), search_queries(cat))
+def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries_ = search_queries(catalog(spark, sf_dir))
+    return Q.search_all(index(spark, sf_dir, ARTIST), index(spark, sf_dir, ALBUM), queries_)
 
 
-def search_items(cat: DriverCatalog) -> DataFrame:
+def search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The joint hits with their documents."""
-    artists, albums = index(cat, ARTIST), index(cat, ALBUM)
-    hits = written(Q.search_all(artists, albums, search_queries(cat)))
+    cat, hits = catalog(spark, sf_dir), written(search_all(spark, sf_dir))
 
     def found(entity: object, kind: str) -> DataFrame:
         ids = hits.filter(F.col("kind") == kind).select(F.col("doc_id").alias("gid")).distinct()
@@ -632,13 +643,13 @@ def queries() -> dict[str, Query]:
         "stream_affected": stream_affected,
         "stream_incremental_sync": stream_incremental_sync,
         # search
-        "postings_artists": over(lambda c: index(c, ARTIST)[0]),
-        "postings_albums": over(lambda c: index(c, ALBUM)[0]),
+        "postings_artists": over(posted(ARTIST)),
+        "postings_albums": over(posted(ALBUM)),
         "search_artists": search(ARTIST, "red widgit"),
         "search_albums": search(ALBUM, "large gizmo urgent"),
-        "search_all": over(search_all),
-        "search_items": over(search_items),
-        "search_batch": over(search_batch),
+        "search_all": search_all,
+        "search_items": search_items,
+        "search_batch": search_batch,
         # lookups
         "artist_by_id": over(lambda c: flat_artists(built(ARTIST, c, c["artist"].filter(F.col("gid") == gid_of("a", 7))))),
         "album_by_id": over(lambda c: flat_albums(built(ALBUM, c, c["release_group"].filter(F.col("gid") == gid_of("c", 7))))),

@@ -1,8 +1,11 @@
 """Ranked text search over documents: one query or a table of queries, by the same plan.
 
 The index is the frame of postings ``(doc_id, attr_rank, item, pos, token)``. Query terms are matched against the
-distinct tokens only, by equi join on shared pieces (see :func:`similar_tokens`), and the matching tokens are then
-joined to the postings.
+distinct tokens only, by equi join on shared pieces (see :func:`similar_tokens`); a stored index holds the pieces of all tokens.
+
+Ranking has two phases. The first needs only which document has which token: it gives all measures but the distance of words, and bounds
+for that. Documents that cannot reach the wanted rank under the best of their bounds, as enough others are ahead of them under the worst of
+theirs, are dropped before any position is read (see :func:`candidates`).
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import written
+
 # Fixed values of the ranking: word break, lengths from which one and two typos pass, distance of words apart.
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 ONE_TYPO_LENGTH = 5
@@ -54,29 +59,22 @@ def postings(docs: DataFrame, searchable: tuple[str, ...]) -> DataFrame:
     return words
 
 
-def similar_tokens(terms: DataFrame, vocabulary: DataFrame, typos: Typos = Typos()) -> DataFrame:
-    """``(term, token, typo)``: all pairs within each term's typo budget. Both inputs are distinct.
+def _piece(i: Column, n: Column, budget: Column) -> tuple[Column, Column]:
+    """Start (from 0) and end of piece i of a term of length n."""
+    pieces = budget + 1
+    return F.floor(i * n / pieces).cast("int"), F.floor((i + 1) * n / pieces).cast("int")
 
-    A term with budget b is cut into b + 1 even pieces; b edits cannot touch them all, so a similar token contains one
-    piece unchanged, at most b places off (the partition scheme published as Pass-Join). A token of any length thus
-    probes a bounded number of pieces, and the join is on equal pieces instead of on all pairs.
-    """
-    n, budget = F.col("n"), F.col("budget")
 
-    def piece(i: Column) -> tuple[Column, Column]:
-        """Start (from 0) and end of a piece."""
-        pieces = budget + 1
-        return F.floor(i * n / pieces).cast("int"), F.floor((i + 1) * n / pieces).cast("int")
+def token_pieces(vocabulary: DataFrame, typos: Typos = Typos()) -> DataFrame:
+    """``(n, i, piece, token)``: what piece i of a term of length n may be, if the token is within that length's budget.
 
-    start, end = piece(F.col("i"))
-    cut = (
-        terms.select("term", F.length("term").alias("n"))
-        .withColumn("budget", typos.budget(n))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), budget)))
-        .select("term", "n", "budget", "i", F.col("term").substr(start + 1, end - start).alias("piece"))
-    )
-    size = F.length("token")
-    probes = (
+    A term with budget b is cut into b + 1 even pieces; b edits cannot touch them all, so a similar token contains one
+    piece unchanged, at most b places off (the partition scheme published as Pass-Join). A token of any length has
+    a bounded number of pieces.
+    """
+    n, budget, size = F.col("n"), F.col("budget"), F.length("token")
+    start, end = _piece(F.col("i"), n, budget)
+    return (
         vocabulary.select("token", F.explode(F.sequence(F.greatest(size - 2, F.lit(1)), size + 2)).alias("n"))
         .withColumn("budget", typos.budget(n))
         .filter(F.abs(n - size) <= budget)
@@ -85,9 +83,27 @@ def similar_tokens(terms: DataFrame, vocabulary: DataFrame, typos: Typos = Typos
         .withColumn("last", F.least(start + budget, size - (end - start)))
         .filter("first <= last")
         .withColumn("at", F.explode(F.sequence(F.col("first"), F.col("last"))))
-        .select("token", "n", "i", F.col("token").substr(F.col("at") + 1, end - start).alias("piece"))
+        .select("n", "i", F.col("token").substr(F.col("at") + 1, end - start).alias("piece"), "token")
         .distinct()
     )
+
+
+def similar_tokens(
+    terms: DataFrame, vocabulary: DataFrame | None, typos: Typos = Typos(), pieces: DataFrame | None = None
+) -> DataFrame:
+    """``(term, token, typo)``: all pairs within each term's typo budget. Both inputs are distinct.
+
+    The join is on equal pieces instead of on all pairs. With stored ``pieces`` (of the same ``typos``) only the terms are cut.
+    """
+    n, budget = F.col("n"), F.col("budget")
+    start, end = _piece(F.col("i"), n, budget)
+    cut = (
+        terms.select("term", F.length("term").alias("n"))
+        .withColumn("budget", typos.budget(n))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), budget)))
+        .select("term", "n", "budget", "i", F.col("term").substr(start + 1, end - start).alias("piece"))
+    )
+    probes = pieces if pieces is not None else token_pieces(vocabulary, typos)
     pairs = probes.join(cut, ["n", "i", "piece"]).select("term", "token", "budget").distinct()
     typo = F.when(budget == 0, F.when(F.col("term") == F.col("token"), 0).otherwise(-1)).otherwise(
         F.least(F.levenshtein("term", "token", 2), F.lit(3))
@@ -101,53 +117,117 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.size(words).alias("terms"), F.posexplode(words).alias("term_no", "term"))
 
 
-def write_index(docs: DataFrame, searchable: tuple[str, ...], tie_breaks: tuple[str, ...], path: str) -> None:
-    """Store postings, vocabulary and the fields that break ties.
+@dataclass(frozen=True)
+class Index:
+    """What searches read: postings, ``holders`` (token, doc_id, attr_rank: its best field), pieces of tokens, and tie fields by ``id``."""
+
+    postings: DataFrame
+    holders: DataFrame
+    pieces: DataFrame
+    documents: DataFrame
+    typos: Typos = Typos()
+
+
+def holders(words: DataFrame) -> DataFrame:
+    """Which document has which token, with the rank of the best field that has it."""
+    return words.groupBy("token", "doc_id").agg(F.min("attr_rank").alias("attr_rank"))
 
-    Postings are laid out by token and document, so a query reads few row groups, and a token with very many postings
-    spans several files instead of making one huge one.
+
+def index_of(words: DataFrame, docs: DataFrame, typos: Typos = Typos()) -> Index:
+    """An index that is not stored, of postings and documents."""
+    return Index(words, holders(words), token_pieces(words.select("token").distinct(), typos), docs, typos)
+
+
+def write_index(docs: DataFrame, searchable: tuple[str, ...], tie_breaks: tuple[str, ...], path: str, typos: Typos = Typos()) -> None:
+    """Store an :class:`Index` of documents.
+
+    Postings and holders are laid out by token and document, so a query reads few row groups, and a token with very many postings
+    spans several files instead of making one huge one. Pieces are laid out by piece.
     """
-    words = postings(docs, searchable)
+    words, spark = postings(docs, searchable), docs.sparkSession
     laid_out = words.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
     laid_out.write.mode("overwrite").parquet(f"{path}/postings")
-    stored = docs.sparkSession.read.schema(words.schema).parquet(f"{path}/postings")
-    stored.select("token").distinct().write.mode("overwrite").parquet(f"{path}/vocabulary")
+    stored = spark.read.schema(words.schema).parquet(f"{path}/postings")
+    holding = holders(stored)
+    holding.sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/holders")
+    vocabulary = spark.read.schema(holding.schema).parquet(f"{path}/holders").select("token").distinct()
+    cut = token_pieces(vocabulary, typos)
+    cut.repartitionByRange("piece", "n").sortWithinPartitions("piece", "n").write.mode("overwrite").parquet(f"{path}/pieces")
     roots = sorted({t.split(".")[0] for t in tie_breaks})
     docs.select("id", *roots).write.mode("overwrite").parquet(f"{path}/documents")
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(postings, documents, vocabulary)`` of a stored index, as :func:`search_batch` takes them."""
-    return tuple(spark.read.parquet(f"{path}/{t}") for t in ("postings", "documents", "vocabulary"))
+def read_index(spark: SparkSession, path: str, typos: Typos = Typos()) -> Index:
+    """A stored index; ``typos`` as it was written with."""
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "holders", "pieces", "documents")), typos)
 
 
-def score(
-    index: DataFrame, queries: DataFrame, typos: Typos = Typos(), vocabulary: DataFrame | None = None
-) -> DataFrame:
-    """``(query_id, doc_id, words, typo, proximity, attribute, exactness)`` for every match of at least one word.
-
-    * words: query words that match
-    * typo: sum of the least typos per matched word
-    * proximity: per two neighbouring query words the least distance in one value, 8 at most and if never together;
-      in reverse order one more than the places between them
-    * attribute: rank of the best field
-    * exactness: words matched without a typo
-    """
+def matched_terms(index: Index, queries: DataFrame) -> DataFrame:
+    """``(query_id, terms, term_no, token, typo)``: the tokens that match each word of each query."""
     terms = query_terms(queries)
-    known = vocabulary if vocabulary is not None else index.select("token").distinct()
-    pairs = similar_tokens(terms.select("term").distinct(), known, typos)
-    hits = terms.join(pairs, "term").join(index, "token")
-    # every hit counts for its word, and as left and right neighbour of a pair (pair i: words i and i + 1)
+    pairs = similar_tokens(terms.select("term").distinct(), None, index.typos, index.pieces)
+    return terms.join(pairs, "term").select("query_id", "terms", "term_no", "token", "typo")
+
+
+def measures(matched: DataFrame, holding: DataFrame) -> DataFrame:
+    """Measures that need no positions, of every document with at least one word of a query.
+
+    ``words`` that match, ``typo`` (sum of the least typos per matched word), ``attribute`` (rank of the best field), ``exactness`` (words
+    matched without a typo); ``adjacent``: pairs of neighbouring query words of which both match, the only ones that can be near.
+    """
+    hits = matched.join(holding, "token").select("query_id", "terms", "doc_id", "term_no", "typo", "attr_rank")
+    # one shuffle serves both aggregates
+    words = hits.repartition("query_id", "doc_id").groupBy("query_id", "doc_id", "terms", "term_no").agg(
+        F.min("typo").alias("typo"), F.min("attr_rank").alias("attr_rank")
+    )
+    found = words.groupBy("query_id", "doc_id", "terms").agg(
+        F.count("*").alias("words"), F.sum("typo").alias("typo"), F.min("attr_rank").alias("attribute"),
+        F.count_if(F.col("typo") == 0).alias("exactness"), F.collect_list("term_no").alias("nos"),
+    )
+    following = F.transform("nos", lambda no: no + 1)
+    return found.withColumn("adjacent", F.size(F.array_intersect("nos", following))).drop("nos")
+
+
+def farthest(terms: str = "terms") -> Column:
+    """The proximity of a document where no two neighbouring query words are near each other."""
+    return F.lit(APART) * (F.col(terms) - 1)
+
+
+def candidates(found: DataFrame, limit: int) -> DataFrame:
+    """The :func:`measures` of the documents that may be among the first ``limit`` of their query.
+
+    A document is out if ``limit`` others are ahead of it whatever the positions are: their measures with the largest proximity
+    that they can have come before its own with the smallest. What comes after these measures in the ranking is not needed for that, as
+    documents that are level stay in.
+    """
+
+    def key(proximity: Column) -> Column:
+        return F.struct(
+            (-F.col("words")).alias("words"), F.col("typo"), proximity.alias("proximity"), F.col("attribute"),
+            (-F.col("exactness")).alias("exactness"),
+        )
+
+    worst, best = key(farthest()), key(farthest() - (APART - 1) * F.col("adjacent"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("worst"))
+    # Spark keeps at most ``limit`` rows per query and task before this shuffle
+    first = found.select("query_id", worst.alias("worst")).withColumn("place", place).filter(F.col("place") <= limit)
+    cuts = first.groupBy("query_id").agg(F.max("worst").alias("cut"), F.count("*").alias("n"))
+    return found.join(cuts, "query_id").filter((F.col("n") < limit) | (best <= F.col("cut"))).drop("cut", "n")
+
+
+def closeness(matched: DataFrame, index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, closer)`` of the wanted ``(query_id, doc_id)``: by how much neighbouring words are nearer than APART.
+
+    Per two neighbouring query words the least distance in one value counts; in reverse order it is one more than the places between them.
+    """
+    hits = matched.join(index, "token").join(wanted, ["query_id", "doc_id"])
+    # every hit counts as left and right neighbour of a pair (pair i: words i and i + 1)
     no = F.col("term_no")
     roles = F.array(
-        F.struct(F.lit("word").alias("role"), no.alias("no")),
-        F.struct(F.when(no < F.col("terms") - 1, F.lit("left")).alias("role"), no.alias("no")),
-        F.struct(F.when(no > 0, F.lit("right")).alias("role"), (no - 1).alias("no")),
+        F.struct(F.when(no < F.col("terms") - 1, F.lit("left")).alias("role"), no.alias("pair")),
+        F.struct(F.when(no > 0, F.lit("right")).alias("role"), (no - 1).alias("pair")),
     )
-    used = hits.select(
-        "query_id", "terms", "doc_id", "attr_rank", "item", "pos", "typo", F.inline(roles)
-    ).filter("role is not null")
-    pair = F.when(F.col("role") == "word", -1 - F.col("no")).otherwise(F.col("no"))
+    used = hits.select("query_id", "doc_id", "attr_rank", "item", "pos", F.inline(roles)).filter("role is not null")
     before = (
         Window.partitionBy("query_id", "doc_id", "attr_rank", "item", "pair")
         .orderBy("pos")
@@ -158,44 +238,35 @@ def score(
     apart = F.when(F.col("role") == "right", F.col("pos") - left).when(
         F.col("role") == "left", F.col("pos") - right + 1
     )
-    near = used.withColumn("pair", pair).withColumn("near", F.least(apart, F.lit(APART)))
-    best = near.groupBy("query_id", "terms", "doc_id", "pair").agg(
-        F.min("typo").alias("typo"), F.min("attr_rank").alias("attr_rank"), F.min("near").alias("near")
-    )
-    is_word = F.col("pair") < 0
-    return best.groupBy("query_id", "terms", "doc_id").agg(
-        F.count_if(is_word).alias("words"),
-        F.sum(F.when(is_word, F.col("typo"))).alias("typo"),
-        F.sum(F.when(~is_word, F.lit(APART) - F.coalesce("near", F.lit(APART)))).alias("closer"),
-        F.min("attr_rank").alias("attribute"),
-        F.count_if(is_word & (F.col("typo") == 0)).alias("exactness"),
-    ).select(
-        "query_id",
-        "doc_id",
-        "words",
-        "typo",
-        (F.lit(APART) * (F.col("terms") - 1) - F.coalesce("closer", F.lit(0))).alias("proximity"),
-        "attribute",
-        "exactness",
-    )
+    near = used.withColumn("near", F.least(apart, F.lit(APART))).groupBy("query_id", "doc_id", "pair").agg(F.min("near").alias("near"))
+    return near.groupBy("query_id", "doc_id").agg(F.sum(F.lit(APART) - F.coalesce("near", F.lit(APART))).alias("closer"))
+
+
+def with_proximity(found: DataFrame, matched: DataFrame, index: DataFrame) -> DataFrame:
+    """Adds ``proximity``: per two neighbouring query words the least distance in one value, APART at most and if never together."""
+    near = closeness(matched, index, found.filter("adjacent > 0").select("query_id", "doc_id"))
+    return found.join(near, ["query_id", "doc_id"], "left").withColumn("proximity", farthest() - F.coalesce("closer", F.lit(0)))
+
+
+def score(index: Index, queries: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, words, typo, proximity, attribute, exactness)`` for every match of at least one word."""
+    matched = matched_terms(index, queries)
+    scored = with_proximity(measures(matched, index.holders), matched, index.postings)
+    return scored.select("query_id", "doc_id", "words", "typo", "proximity", "attribute", "exactness")
 
 
 def search_batch(
-    index: DataFrame,
-    docs: DataFrame,
-    queries: DataFrame,
-    limit: int = 10,
-    tie_breaks: tuple[str, ...] = ("rating.Value",),
-    typos: Typos = Typos(),
-    vocabulary: DataFrame | None = None,
+    index: Index, queries: DataFrame, limit: int = 10, tie_breaks: tuple[str, ...] = ("rating.Value",)
 ) -> DataFrame:
     """The best ``limit`` documents of each query, with their measures and ``rank``.
 
     Spark keeps at most ``limit`` rows per query and task before the ranking shuffle, so a query that matches a third
     of all documents does not meet in one task.
     """
+    matched = written(matched_terms(index, queries))
+    found = written(candidates(measures(matched, index.holders), limit))
     keys = [f"tie_{i}" for i in range(len(tie_breaks))]
-    ties = docs.select(
+    ties = index.documents.select(
         F.col("id").alias("doc_id"), *[F.col(t).alias(k) for t, k in zip(tie_breaks, keys)]
     )
     order = [
@@ -208,22 +279,21 @@ def search_batch(
         F.col("doc_id").asc(),
     ]
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    ranked = score(index, queries, typos, vocabulary).join(ties, "doc_id").withColumn("rank", place).filter(F.col("rank") <= limit)
+    scored = with_proximity(found, matched, index.postings)
+    ranked = scored.join(ties, "doc_id").withColumn("rank", place).filter(F.col("rank") <= limit)
     return ranked.select(
         "query_id", "rank", "doc_id", "words", "typo", "proximity", "attribute", "exactness",
         *[F.col(k).alias(t.split(".")[-1].lower()) for t, k in zip(tie_breaks, keys)],
     )
 
 
-def search_all(
-    artists: tuple[DataFrame, DataFrame], albums: tuple[DataFrame, DataFrame], queries: DataFrame, limit: int = 5
-) -> DataFrame:
+def search_all(artists: Index, albums: Index, queries: DataFrame, limit: int = 5) -> DataFrame:
     """Artists, then albums, ``limit`` of each: ``(query_id, position, score, kind, doc_id)``.
 
-    Each argument is ``(index, documents)``. ``position`` orders the joint list; ``score`` is 1 for every hit.
+    ``position`` orders the joint list; ``score`` is 1 for every hit.
     """
-    first = search_batch(*artists, queries, limit).select("query_id", "rank", "doc_id", F.lit("artist").alias("kind"))
-    second = search_batch(*albums, queries, limit, ("rating.Value", "releasedate")).select(
+    first = search_batch(artists, queries, limit).select("query_id", "rank", "doc_id", F.lit("artist").alias("kind"))
+    second = search_batch(albums, queries, limit, ("rating.Value", "releasedate")).select(
         "query_id", "rank", "doc_id", F.lit("album").alias("kind")
     )
     both = first.unionByName(second)
