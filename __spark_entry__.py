@@ -27,6 +27,7 @@ from sleevenotes.schemas import ARTIST_DOC, CATALOG  # noqa: E402
 from sleevenotes.sources.catalog import kept_tables  # noqa: E402
 from sleevenotes.sources.documents import DocumentStore, decode_json, encode_json, upsert  # noqa: E402
 from sleevenotes.sources.driver_tables import DriverCatalog, changes_from_events  # noqa: E402
+from sleevenotes.sources.snapshots import differences  # noqa: E402
 from sleevenotes.sources.work import shared_folder, written  # noqa: E402
 from sleevenotes.streaming import feed as X  # noqa: E402
 
@@ -416,6 +417,35 @@ def stream_incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def next_version(cat: DriverCatalog) -> dict[str, DataFrame]:
+    """The tables after a day's work: names in lower case, groups without releases gone, plain aliases twice, links without their own type gone."""
+    groups = cat["release_group"]
+    renamed = groups.withColumn("name", F.when(F.col("comment") == "BUILDING", F.lower("name")).otherwise(F.col("name")))
+    held = cat["release"].select(F.col("release_group").alias("id"))
+    aliases = cat["artist_alias"]
+    return {
+        **cat,
+        "release_group": renamed.join(held, "id", "left_semi"),
+        "artist_alias": aliases.unionByName(aliases.filter("type = 1")),
+        "l_artist_url": cat["l_artist_url"].filter("entity0 <> entity1"),
+    }
+
+
+def snapshot_feed(cat: DriverCatalog) -> DataFrame:
+    """Change rows between two versions of the tables, with their keys and names."""
+    tables = ("artist", "artist_alias", "l_artist_url", "release_group")
+    feed = differences(cat, next_version(cat), 1, F.timestamp_seconds(F.lit(0)), tables)
+
+    def field(side: str, name: str) -> Column:
+        return F.get_json_object(side, f"$.{name}")
+
+    def of(name: str) -> Column:
+        return F.coalesce(field("new", name), field("old", name))
+
+    owner = F.coalesce(of("gid"), of("artist"), of("entity0"))
+    return feed.select("tbl", "op", owner.alias("owner"), field("old", "name").alias("old_name"), field("new", "name").alias("new_name"))
+
+
 # -- search and lookups ---------------------------------------------------------------------------------------------
 
 
@@ -638,6 +668,7 @@ def queries() -> dict[str, Query]:
         "affected_albums": over(affected("release_group")),
         "incremental_sync": over(incremental_sync),
         "bulk_sync": bulk_sync,
+        "snapshot_feed": over(snapshot_feed),
         # streams
         "stream_apply_changes": stream_apply_changes,
         "stream_affected": stream_affected,
