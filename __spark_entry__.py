@@ -17,6 +17,7 @@ from sleevenotes.functions import scalars as S  # noqa: E402
 from sleevenotes.functions.assemble import Child, assemble  # noqa: E402
 from sleevenotes.operators import album as A  # noqa: E402
 from sleevenotes.operators import artist as R  # noqa: E402
+from sleevenotes.operators import attributes as T  # noqa: E402
 from sleevenotes.operators import changes as C  # noqa: E402
 from sleevenotes.operators import lookup as L  # noqa: E402
 from sleevenotes.operators import release as E  # noqa: E402
@@ -527,6 +528,60 @@ def search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=8)
+def _stored_attributes(spark: SparkSession, application: str, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
+    entity = ARTIST if name == ARTIST.name else ALBUM
+    path = f"{shared_folder(spark)}/{entity.index}"
+    T.write_attributes(entity, _catalog(spark, application, sf_dir), path)
+    return T.read_attributes(spark, path)
+
+
+def attributes(spark: SparkSession, sf_dir: str, entity: object) -> tuple[DataFrame, DataFrame]:
+    """The stored attribute index and sort keys; they are written by the first filter or sort of a session."""
+    catalog(spark, sf_dir)
+    return _stored_attributes(spark, spark.sparkContext.applicationId, sf_dir, entity.name)
+
+
+def filtered(entity: object, flat: Callable[[DataFrame], DataFrame], **conditions: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ids = T.ids_where(attributes(spark, sf_dir, entity)[0], entity.filterable, **conditions)
+        return flat(documents_of(entity, catalog(spark, sf_dir), written(ids)))
+
+    return run
+
+
+def sort_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 best rated albums, the latest first among equals."""
+    ids = T.first_ids(attributes(spark, sf_dir, ALBUM)[1], ("rating", "releasedate"), 25)
+    return flat_albums(L.sort_by(documents_of(ALBUM, catalog(spark, sf_dir), written(ids)), "rating.Value", "releasedate"))
+
+
+def flat_lists(entity: object, texts: dict[str, Column]) -> Query:
+    """All lists of an entity as flat tables: the list, the document's id, the entry."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = entity.tables(catalog(spark, sf_dir))
+        ids = tables["head"].select("row_id", "id" if "id" in tables["head"].columns else F.col("Id").alias("id"))
+        rows = [tables[n].select(F.lit(n).alias("list"), "row_id", text.alias("value")) for n, text in texts.items()]
+        return reduce(DataFrame.unionByName, rows).join(ids, "row_id").select("list", "id", "value")
+
+    return run
+
+
+def link_value() -> Column:
+    return F.concat("value.target", F.lit(">"), "value.type")
+
+
+def artist_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = {n: F.col("value") for n in ("oldids", "artistaliases", "genres")}
+    return flat_lists(ARTIST, plain | {"links": link_value(), "albums": F.col("value.id")})(spark, sf_dir)
+
+
+def album_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = {n: F.col("value") for n in ("oldids", "aliases", "secondarytypes", "genres", "artistids")}
+    return flat_lists(ALBUM, plain | {"links": link_value()})(spark, sf_dir)
+
+
 def gid_of(prefix: str, key: int) -> str:
     return f"{prefix}0000000-0000-4000-8000-{key:012d}"
 
@@ -688,14 +743,13 @@ def queries() -> dict[str, Query]:
         "albums_by_recordings": over(
             lambda c: flat_albums(documents_of(ALBUM, c, L.albums_of_recordings(c, wanted_recordings(c))))
         ),
-        "filter_artists": over(
-            lambda c: flat_artists(L.filter_by(R.artist_docs(c), ARTIST.filterable, genres="Red-Widget", status="active"))
-        ),
-        "filter_albums": over(
-            lambda c: flat_albums(
-                L.filter_by(A.album_docs(c), ALBUM.filterable, type="AFRICA", artistids="a0000000-0000-4000-8000-000000000003")
-            )
-        ),
+        "attributes_artists": over(lambda c: T.attribute_rows(ARTIST, c)),
+        "attributes_albums": over(lambda c: T.attribute_rows(ALBUM, c)),
+        "artist_lists": artist_lists,
+        "album_lists": album_lists,
+        "filter_artists": filtered(ARTIST, flat_artists, genres="Red-Widget", status="active"),
+        "filter_albums": filtered(ALBUM, flat_albums, type="AFRICA", artistids="a0000000-0000-4000-8000-000000000003"),
+        "sort_page": sort_page,
         "sort_albums": over(
             lambda c: flat_albums(L.sort_by(A.album_docs(c), "rating.Value", "releasedate"))
         ),

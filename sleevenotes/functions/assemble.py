@@ -90,6 +90,16 @@ def flat_tables(base: DataFrame, key: str, children: dict[str, Child]) -> dict[s
     return out
 
 
+def spread(entries: DataFrame, key: str, partitions: int) -> DataFrame:
+    """Entries of a flat list table in ranges of (parent, order), each sorted: written, the files follow each other in order.
+
+    The limits are sampled over both, so a parent with a large share of all entries spans many tasks, and its order survives. Entries that
+    are alike in all go by their value's hash.
+    """
+    place = [F.col(key), F.col("order"), F.xxhash64("value")]
+    return entries.repartitionByRange(partitions, *place).sortWithinPartitions(*place)
+
+
 def within(df: DataFrame, column: str, ids: DataFrame | None, id_column: str = "id") -> DataFrame:
     """Rows whose ``column`` is among ``ids``; all rows if there is no restriction."""
     if ids is None:

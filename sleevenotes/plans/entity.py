@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.assemble import within
-from ..operators.album import album_docs
-from ..operators.artist import Catalog, artist_docs
+from ..operators.album import album_base, album_docs, album_tables
+from ..operators.artist import Catalog, artist_base, artist_docs, artist_tables
 from ..operators.sync import mark_synced, unsynced
 from ..sources.documents import DocumentStore
 from ..sources.work import written
@@ -20,7 +20,7 @@ NIL_GID = "00000000-0000-0000-0000-000000000000"
 
 @dataclass(frozen=True)
 class Entity:
-    """A document family: its table, how its documents are built, and how they are searched.
+    """A document family: its table, how its documents are built (nested, their scalars, flat), and how they are searched.
 
     ``searchable``: document fields in order of weight. ``tie_breaks``: fields that order hits alike in all text
     measures, greatest first.
@@ -29,6 +29,8 @@ class Entity:
     name: str
     index: str
     build: Callable[..., DataFrame]
+    base: Callable[..., DataFrame]
+    tables: Callable[..., dict[str, DataFrame]]
     searchable: tuple[str, ...]
     filterable: tuple[str, ...]
     tie_breaks: tuple[str, ...]
@@ -38,6 +40,9 @@ ARTIST = Entity(
     name="artist",
     index="artists",
     build=artist_docs,
+    base=artist_base,
+    tables=artist_tables,
+    # fixed values: the names and order that searches and filters are asked with
     searchable=("artistname", "sortname", "artistaliases"),
     filterable=("id", "oldids", "genres", "type", "status"),
     tie_breaks=("rating.Value",),
@@ -46,6 +51,8 @@ ALBUM = Entity(
     name="release_group",
     index="albums",
     build=album_docs,
+    base=album_base,
+    tables=album_tables,
     searchable=("title", "aliases", "artists.artistname"),
     filterable=("id", "oldids", "genres", "type", "artistid", "artistids"),
     tie_breaks=("rating.Value", "releasedate"),
@@ -71,12 +78,25 @@ def page(entity: Entity, cat: Catalog, after: str = NIL_GID, size: int = 100, **
     return entity.build(cat, ids=written(ids), **options).orderBy("id")
 
 
-def bulk_build(entity: Entity, cat: Catalog, store: DocumentStore, seq: int, ts: Column, version: int = 0) -> DataFrame:
+def bulk_build(
+    entity: Entity, cat: Catalog, store: DocumentStore, seq: int, ts: Column, version: int = 0, ranges: int = 1
+) -> DataFrame:
     """Write all documents of a family as the store's base, then return their marks for the ``synced`` log.
 
-    ``seq`` and ``ts``: the last change that the tables hold. If the write fails, nothing is marked.
+    ``seq`` and ``ts``: the last change that the tables hold. If the write fails, nothing is marked. With ``ranges`` the build goes through
+    so many ranges of ids one after the other; each finished range is noted, and a build that is started again with the same version
+    skips it. The limits of the ranges are drawn once and stored.
     """
-    store.write_base(entity.build(cat), version)
+    if ranges == 1:
+        store.write_base(entity.build(cat), version)
+    else:
+        ids = documented(entity, cat)
+        for k, low, high in store.ranges(version, ids.select("gid"), ranges):
+            if store.has(f"range-{k}", version):
+                continue
+            own = ids.filter((F.col("gid") >= low) & (F.col("gid") < high if high is not None else F.lit(True)))
+            store.write_range(entity.build(cat, ids=written(own.select("id"))), k, version)
+        store.finish_base(version)
     done = documented(entity, cat).select(F.lit(entity.name).alias("entity"), "gid")
     return mark_synced(done, F.lit(seq), ts)
 
