@@ -53,10 +53,7 @@ def notices(text: Column, templates: dict[str, str] = TEMPLATES, percent: int =
     any_bigram = F.array(*map(F.lit, sorted({x for b in known.values() for x in b})))
 
     lower = F.lower(F.coalesce(text, F.lit("")))
-    paragraphs = F.filter(
-        F.split(lower, "\n[ \\t\\r]*\n"),
-        lambda p: p.contains("\n") & (F.regexp_count(p, F.lit("[a-z0-9]+")) <= 4 * int(most)),
-    )
+    paragraphs = F.filter(F.split(lower, "\n[ \\t\\r]*\n"), lambda p: p.contains("\n"))
     units = F.concat(F.split(lower, "\n"), paragraphs)
     words = F.filter(
         F.transform(units, lambda u: F.array_remove(F.split(u, NOT_WORD), "")),

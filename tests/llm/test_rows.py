@@ -5,11 +5,13 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from cases import DOCS, no_documents, odd_documents, prose, texts
 from pyspark.sql import functions as F
 
 from sleevenotes.llm import decontaminate, licences, quality_rules, url_rules
+from sleevenotes.llm.licence_sql import LICENCE_SQL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -133,6 +135,17 @@ def test_a_notice_over_several_lines(spark):
     assert licences.scanned(texts(spark, [(1, text)])).first().licences == ["MIT-grant"]
 
 
+@pytest.mark.parametrize("lines", [2, 41, 60, 400])
+def test_a_notice_repeated_in_one_paragraph(spark, lines):
+    text = "\n".join(["All rights reserved."] * lines)
+    found = licences.scanned(texts(spark, [(1, text)])).first()
+    con = duckdb.connect()
+    con.execute("create table documents as select 1 as doc_id, ? as text", [text])
+    sql = con.sql(LICENCE_SQL)
+    want = dict(zip(sql.columns, sql.fetchone()))
+    assert found.n_notices == want["n_notices"] == lines + 1 and ",".join(found.licences) == want["licences"]
+
+
 # -- URL rules ---------------------------------------------------------------------------------------------------------
 
 
