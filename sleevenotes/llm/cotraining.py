@@ -203,7 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         taught.join(chosen, "doc_id"),
         _views(pool, ["doc_id"]).mapInArrow(features, schema).join(known, "doc_id", "left_anti").withColumn("quality", F.lit(-1)),
     ):
-        found += rows.select("features", "quality", spare.alias("spare")).orderBy("features").limit(2 * sample).collect()
+        # a repeated id is one row, so that no document can take the place of others
+        once = rows.groupBy("doc_id", "quality").agg(F.min("features").alias("features"))
+        found += once.select("features", "quality", spare.alias("spare")).orderBy("features").limit(2 * sample).collect()
     if not found:
         return Model(None, None, None)
     x = np.stack([np.frombuffer(r.features, np.float32) for r in found])
