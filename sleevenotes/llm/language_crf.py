@@ -7,7 +7,7 @@ text that switches. Forward-backward gives each word's distribution over languag
 largest share of its letters, and that share is the score.
 
 The lexicon counts every word of every learning document (hashed into LEXICON buckets). Only the weights are fitted on a bounded
-sample: about SAMPLE documents of each language, none longer than SAMPLE_CHARS. Prediction reads whole texts, in Arrow batches:
+sample: about SAMPLE distinct texts of each language, of longer ones a passage of SAMPLE_CHARS. Prediction reads whole texts, in Arrow batches:
 each distinct word of a batch is scored once, and documents of similar length go through forward-backward together.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if there is nothing to learn from.
@@ -229,13 +229,17 @@ def fit(learning: DataFrame) -> Model:
     empty.lexicon = (np.log(rates) - np.log(rates).mean(axis=1, keepdims=True)).astype(np.float32).clip(-4, 4)
     if k == 1:
         return empty
-    short = usable.filter(F.length("text") <= SAMPLE_CHARS)
-    sizes = {r.lang: r.n for r in short.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    # distinct texts are drawn, and of a long text a passage: neither copies nor long documents keep a language out of the sample
+    hashed = usable.withColumn("h", F.xxhash64("text"))
+    sizes = {r.lang: r.n for r in hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    draw = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.lit(False)
     for lang, n in sizes.items():
         chosen = chosen | ((F.col("lang") == lang) & (draw < SAMPLE / n))
-    rows = short.filter(chosen).limit(4 * SAMPLE * k).collect()
+    begin = F.pmod(F.shiftright("h", 30), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    passage = F.col("text").substr(begin, F.lit(SAMPLE_CHARS))
+    drawn = hashed.filter(chosen).select("lang", "h", passage.alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = drawn.orderBy("h").limit(4 * SAMPLE * k).collect()
     return _trained(empty, [r.text for r in rows], [r.lang for r in rows])
 
 

@@ -243,6 +243,19 @@ def test_language_of_held_out_documents(spark, model):
     assert right > 0.98
 
 
+def test_a_language_of_long_documents_only_is_learned(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    times = F.when(F.col("lang") == "de", (language_crf.SAMPLE_CHARS / F.length("text")).cast("int") + 2).otherwise(1)
+    long = docs.withColumn("text", F.repeat(F.concat("text", F.lit(" ")), times))
+    hot = long.filter("lang = 'en'").orderBy("doc_id").limit(1)
+    copies = hot.join(spark.range(2_000).select(F.lit(1).alias("one")), F.lit(True)).select(*docs.columns)
+    learned = language_crf.learned_from(F.col("doc_id"))
+    model = language_crf.fit(long.filter(learned).unionByName(copies))
+    held_out = language_crf.predicted(long.filter(~learned), model).select("lang", (F.col("lang") == F.col("lang_pred")).alias("right"))
+    found = {r.lang: r.share for r in held_out.groupBy("lang").agg(F.avg(F.col("right").cast("int")).alias("share")).collect()}
+    assert found["de"] > 0.95 and found["en"] > 0.95
+
+
 def test_language_of_words_in_switched_text(spark, model):
     rows = duckdb.sql(f"select lang, text from '{SF}/documents.parquet' where length(text) between 600 and 3000").fetchall()
     by = {lang: [w for x, t in rows if x == lang for w in t.split()][:400] for lang in ("en", "fr", "de")}
@@ -316,3 +329,14 @@ def test_cotraining_learns_from_few_labels_among_many_documents(spark, monkeypat
     model = cotraining.fit(docs, labels, sample=100)
     assert (seen[0] == 1).sum() == (seen[0] == 0).sum() == 20 and 50 < (seen[0] < 0).sum() < 200
     assert {(r.doc_id % 2, r.kept) for r in cotraining.scored(docs, model).collect()} == {(0, True), (1, False)}
+
+
+def test_cotraining_with_a_labelled_id_on_many_rows(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id as doc_id", "if(id % 2 = 0, concat('a tidy text of words ', id), '#$ %% @@ !!') as text")
+    again = spark.range(500).selectExpr("0L as doc_id", "concat('a tidy text of words, ', id) as text")
+    labels = spark.range(40).selectExpr("id as doc_id", "cast(1 - id % 2 as int) as quality")
+    seen, co_train = [], cotraining.co_train
+    monkeypatch.setattr(cotraining, "co_train", lambda *a: seen.append(a[2]) or co_train(*a))
+    model = cotraining.fit(docs.unionAll(again), labels, sample=100)
+    assert (seen[0] == 1).sum() == (seen[0] == 0).sum() == 20
+    assert {(r.doc_id % 2, r.kept) for r in cotraining.scored(docs, model).collect()} == {(0, True), (1, False)}
