@@ -142,7 +142,7 @@ def test_a_notice_repeated_in_one_paragraph(spark, lines):
     con = duckdb.connect()
     con.execute("create table documents as select 1 as doc_id, ? as text", [text])
     sql = con.sql(LICENCE_SQL)
-    want = dict(zip(sql.columns, sql.fetchone()))
+    want = dict(zip(sql.columns, sql.fetchall()[0]))
     assert found.n_notices == want["n_notices"] == lines + 1 and ",".join(found.licences) == want["licences"]
 
 
