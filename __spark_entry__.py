@@ -25,7 +25,7 @@ from sleevenotes.operators import search as Q  # noqa: E402
 from sleevenotes.operators import sync as Y  # noqa: E402
 from sleevenotes.plans.entity import ALBUM, ARTIST, bulk_build, documents_of, incremental_build, page  # noqa: E402
 from sleevenotes.schemas import ARTIST_DOC, CATALOG  # noqa: E402
-from sleevenotes.sources.catalog import kept_tables  # noqa: E402
+from sleevenotes.sources.catalog import import_catalog, is_empty, kept_tables, load_catalog  # noqa: E402
 from sleevenotes.sources.documents import DocumentStore, decode_json, encode_json, upsert  # noqa: E402
 from sleevenotes.sources.driver_tables import DriverCatalog, changes_from_events  # noqa: E402
 from sleevenotes.sources.snapshots import differences  # noqa: E402
@@ -646,6 +646,35 @@ def catalog_allowlist(cat: DriverCatalog) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def catalog_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables imported (a second import finds them there) and loaded: rows of each, and whether it is empty."""
+    folder, cat = shared_folder(spark), catalog(spark, sf_dir)
+    import_catalog(cat, folder)
+    import_catalog(cat, folder)
+    loaded = load_catalog(spark, folder)
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n", F.lit(is_empty(df)).alias("empty")) for t, df in loaded.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def album_contents(cat: DriverCatalog) -> DataFrame:
+    """What albums embed, in order: tracks and media of their releases, and artists."""
+    docs = A.album_docs(cat).select("id", "Releases", "artists")
+    releases = docs.select(F.col("id").alias("album"), F.explode("Releases").alias("r"))
+
+    def listed(rows: DataFrame, release: Column, entries: Column, id_: Column, *text: Column) -> DataFrame:
+        each = rows.select("album", release.alias("release"), F.posexplode(entries).alias("place", "e"))
+        return each.select("album", "release", "place", id_.cast("string").alias("id"), F.concat_ws("|", *[t.cast("string") for t in text]).alias("text"))
+
+    e, none = (lambda name: F.col(f"e.{name}")), F.lit(None).cast("string")
+    track = [e(n) for n in ("recordingid", "artistid", "trackname", "durationms", "mediumnumber", "tracknumber", "trackposition")]
+    parts = {
+        "track": listed(releases, F.col("r.Id"), F.col("r.Tracks"), e("id"), *track),
+        "medium": listed(releases, F.col("r.Id"), F.col("r.Media"), none, e("format"), e("name"), e("position")),
+        "artist": listed(docs.withColumnRenamed("id", "album"), none, F.col("artists"), e("id"), e("artistname"), e("sortname"), e("status"), e("type")),
+    }
+    return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in parts.items()])
+
+
 # -- contract -------------------------------------------------------------------------------------------------------
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -660,6 +689,7 @@ def queries() -> dict[str, Query]:
     return {
         # tables
         "catalog_allowlist": over(catalog_allowlist),
+        "catalog_import": catalog_import,
         "entity_counts": over(Y.entity_counts),
         # columns
         "artist_status": over(lambda c: c["artist"].select(F.col("gid").alias("id"), S.status(F.col("ended")).alias("status"))),
@@ -706,6 +736,7 @@ def queries() -> dict[str, Query]:
         "album_artists": over(album_artists),
         "album_images": over(album_images),
         "album_docs": over(lambda c: flat_albums(A.album_docs(c))),
+        "album_contents": over(album_contents),
         "album_page": over(lambda c: flat_albums(page(ALBUM, c, "c0000000-0000-4000-8000-000000000010", 25))),
         "album_docs_unsynced": over(docs_unsynced(ALBUM, flat_albums)),
         # documents
