@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hosts import ascii_label
+
 # The addresses and patterns the documents are defined with.
 COVER_ART_URL = "https://coverartarchive.org/release/"
 IMAGE_CACHE_URL = "https://images.lidarr.audio/cache/"
 URL_HOST = r"^\s*[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2,}(?:[^/?#\\]*@)?(\[[^\]]*\]|[^/?#:\\]*)"
+FULL_STOPS = "\u3002\uff0e\uff61"  # separate labels like a dot
 WORD_RUNS = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
 DEFAULT_ALBUM_TYPE = "Other"
 
@@ -67,9 +70,10 @@ def initcap_words(text: Column) -> Column:
 
 
 def link_type(url: Column) -> Column:
-    """First label of the host, without one leading ``www.``; null if there is no host."""
+    """First label of the host in its ASCII form, without one leading ``www.``; null if there is no host."""
     host = F.nullif(F.lower(F.regexp_extract(url, URL_HOST, 1)), F.lit(""))
-    return F.split_part(F.regexp_replace(host, r"^www\.", ""), F.lit("."), F.lit(1))
+    dotted = F.translate(host, FULL_STOPS, "." * len(FULL_STOPS))
+    return ascii_label(F.split_part(F.regexp_replace(dotted, r"^www\.", ""), F.lit("."), F.lit(1)))
 
 
 def cover_url(release_id: Column, image_id: Column) -> Column:

@@ -1,11 +1,13 @@
 import json
 import os
+import random
 
 import micro
 import pytest
 from pyspark.sql import functions as F
 
 from sleevenotes.functions import scalars as S
+from sleevenotes.functions.hosts import ascii_label
 from sleevenotes.operators.album import album_docs, album_tables
 from sleevenotes.operators.artist import artist_docs, artist_tables
 from sleevenotes.operators.release import release_docs, release_tables
@@ -43,11 +45,25 @@ def test_link_types(spark):
         "not a url": None,
         "https://a_b.com/x": "a_b",
         "HTTPS://u:p@WWW.Example.com:8080/a|b": "example",
+        "https://www.b\u00fccher.example/x": "xn--bcher-kva",
+        "https://M\u00dcNCHEN\u3002de/": "xn--mnchen-3ya",
+        "https://\u4f8b\u3048.jp": "xn--r8jz45g",
     }
     got = evaluate(spark, [(u,) for u in cases], "u string", S.link_type(F.col("u")))
     assert [g[0] for g in got] == list(cases.values())
 
 
+def test_labels_of_other_scripts(spark):
+    rng = random.Random(3)
+    alphabets = ["abcxyz019-", "\u00e4\u00f6\u00fc\u00df\u00e9", "\u3072\u3089\u304c\u306a", "\u0430\u0431\u0432\u0433", "\U0001f600\U0001f4a9", "\u4f8b\u5b50"]
+    labels = ["plain", "\u00fc", "a\u00fc", "\u00fca", "\U0010ffff"] + [
+        "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(1, 40))) for _ in range(300)
+    ]
+    got = evaluate(spark, [(x,) for x in labels], "u string", ascii_label(F.col("u")))
+    want = [x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in labels]
+    assert [g[0] for g in got] == want
+
+
 def test_rating_and_status(spark):
     rows = [(85, 3, True), (None, None, None), (0, 1, False)]
     got = evaluate(spark, rows, "v int, c int, e boolean", S.rating(F.col("c"), F.col("v")), S.status(F.col("e")))
