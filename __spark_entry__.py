@@ -447,6 +447,29 @@ def snapshot_feed(cat: DriverCatalog) -> DataFrame:
     return feed.select("tbl", "op", owner.alias("owner"), field("old", "name").alias("old_name"), field("new", "name").alias("new_name"))
 
 
+NEXT_TABLES = ("artist_alias", "l_artist_url", "release_group")
+
+
+def stream_snapshot_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the first version of the tables, brought to the next one by the stream of what differs, whole rows as files."""
+    folder, cat = shared_folder(spark), catalog(spark, sf_dir)
+    differences(cat, next_version(cat), 1, F.timestamp_seconds(F.lit(0)), NEXT_TABLES).write.json(f"{folder}/packets")
+    stores = empty_stores(spark, cat, folder)
+    for entity in (ARTIST, ALBUM):
+        stores[entity.name].write_base(entity.build(cat))
+    X.stream_incremental_sync(X.change_stream(spark, f"{folder}/packets"), cat, stores, folder, propagate="full").awaitTermination()
+    artists, albums = (stores[e.name].current() for e in (ARTIST, ALBUM))
+    own = ("links", "genres")
+    return flat_artists(artists).select(
+        F.lit("artist").alias("entity"), "id", F.col("artistname").alias("name"), F.col("artistaliases").alias("aliases"), *own,
+        F.col("albums").alias("children"),
+    ).unionByName(
+        flat_albums(albums).select(
+            F.lit("release_group").alias("entity"), "id", F.col("title").alias("name"), "aliases", *own, F.col("releases").alias("children")
+        )
+    )
+
+
 # -- search and lookups ---------------------------------------------------------------------------------------------
 
 
@@ -759,6 +782,7 @@ def queries() -> dict[str, Query]:
         "stream_apply_changes": stream_apply_changes,
         "stream_affected": stream_affected,
         "stream_incremental_sync": stream_incremental_sync,
+        "stream_snapshot_sync": stream_snapshot_sync,
         # search
         "postings_artists": over(posted(ARTIST)),
         "postings_albums": over(posted(ALBUM)),
