@@ -21,7 +21,7 @@ from .artist import (
     redirects,
     secondary_types,
 )
-from .release import release_docs
+from .release import placed_tracks, release_docs
 
 
 def album_base(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
@@ -41,16 +41,15 @@ def album_base(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
     )
 
 
-def group_artists(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
+def group_artists(cat: Catalog, ids: DataFrame | None = None, placed: DataFrame | None = None) -> DataFrame:
     """``(release_group, artist_id, artist_gid)``, distinct: lead artists of the group and of all its tracks.
 
-    Credits are made distinct per release group before they meet the artists, so a credit that holds a large share of
-    all tracks is one row per group by then.
+    Credits are made distinct per release, then per release group, before they meet the artists, so a credit that holds a large share of
+    all tracks is one row per group by then. ``placed``: the releases' ``placed_tracks``, if the caller has them.
     """
-    releases = within(cat["release"].select("id", "release_group"), "release_group", ids)
-    media = cat["medium"].select(F.col("id").alias("medium"), F.col("release").alias("id"))
-    tracks = cat["track"].select("medium", "artist_credit")
-    on_tracks = tracks.join(media.join(releases, "id"), "medium").select("release_group", "artist_credit")
+    releases = within(cat["release"].select(F.col("id").alias("release"), "release_group"), "release_group", ids)
+    placed = placed_tracks(cat, None if ids is None else releases, "release") if placed is None else placed
+    on_tracks = placed.select("release", "artist_credit").distinct().join(releases, "release").select("release_group", "artist_credit")
     on_groups = within(cat["release_group"], "id", ids).select(F.col("id").alias("release_group"), "artist_credit")
     credits = on_tracks.unionByName(on_groups).filter("artist_credit is not null").distinct()
     return credits.join(lead_credit(cat), "artist_credit").select("release_group", "artist_id", "artist_gid").distinct()
@@ -126,17 +125,19 @@ def album_docs(cat: Catalog, ids: DataFrame | None = None, use_release_gid: bool
     ``ids``: row ids of release groups to restrict to; many scans read it, so it should be a table and not a long plan.
     """
     base = album_base(cat, ids)
-    artists = written(group_artists(cat, ids))  # feeds two lists
     wanted = release_ids = None
     if ids is not None:
-        wanted = written(artists.select(F.col("artist_id").alias("id")).distinct())
         release_ids = written(within(cat["release"].select("id", "release_group"), "release_group", ids).select("id"))
+    placed = written(placed_tracks(cat, release_ids, "id"))  # tracks are read once, for artists and for releases
+    artists = written(group_artists(cat, ids, placed))  # feeds two lists
+    if ids is not None:
+        wanted = written(artists.select(F.col("artist_id").alias("id")).distinct())
     light = artist_light_docs(cat, wanted)
     light_doc = F.struct(*[c for c in light.columns if c != "row_id"]).cast(f"struct<{ARTIST_LIGHT_DOC}>")
     # the pairs are narrow and the documents that join them wide: spread them first, not by the size of the pairs
     pairs = artists.select("release_group", F.col("artist_id").alias("row_id")).repartition("release_group", "row_id")
     embedded = pairs.join(light.select("row_id", light_doc.alias("artist")), "row_id")
-    releases = release_docs(cat, ids, release_ids)
+    releases = release_docs(cat, ids, release_ids, placed)
     release = F.struct(*[c for c in releases.columns if c not in ("row_id", "release_group")]).cast(RELEASE)
     children = album_children(cat, ids) | {
         "artistids": Child(artists, "release_group", F.col("artist_gid")),

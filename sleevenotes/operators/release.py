@@ -67,15 +67,21 @@ def release_media(cat: Catalog, ids: DataFrame | None = None) -> dict[str, Child
     }
 
 
-def track_rows(cat: Catalog, releases: DataFrame | None = None) -> DataFrame:
-    """``(release, track)``: audio tracks with medium, lead artist, recording and former ids.
+def placed_tracks(cat: Catalog, releases: DataFrame | None = None, column: str = "row_id") -> DataFrame:
+    """All tracks with the release and the number of their medium, in one pass over tracks and media.
 
-    ``releases``: frame with the ids (``row_id``) of the releases to keep; applied to media before the track scan's
-    first shuffle.
+    ``releases``: frame with the ids of the releases to keep; applied to media before the track scan's first shuffle.
     """
     media = cat["medium"].select(F.col("id").alias("medium"), "release", F.col("position").alias("mediumnumber"))
-    if releases is not None:
-        media = within(media, "release", releases, "row_id")
+    return cat["track"].join(within(media, "release", releases, column), "medium").drop("medium")
+
+
+def track_rows(cat: Catalog, releases: DataFrame | None = None, placed: DataFrame | None = None) -> DataFrame:
+    """``(release, track)``: audio tracks with medium, lead artist, recording and former ids.
+
+    ``placed``: the :func:`placed_tracks`, if the caller has them; else they are read, of ``releases`` only.
+    """
+    placed = placed_tracks(cat, releases) if placed is None else placed
     old_tracks = list_per_key(redirects(cat["track_gid_redirect"]), "oldids")
     old_recordings = list_per_key(redirects(cat["recording_gid_redirect"]), "oldrecordingids")
     recordings = (
@@ -99,9 +105,7 @@ def track_rows(cat: Catalog, releases: DataFrame | None = None) -> DataFrame:
         F.col("position").alias("trackposition"),
     ).cast(TRACK)
     return (
-        cat["track"]
-        .filter("is_data_track = false")
-        .join(media, "medium")
+        placed.filter("is_data_track = false")
         .join(lead, "artist_credit")
         .join(recordings, "recording")
         .join(old_tracks.withColumnRenamed("new_id", "id"), "id", "left")
@@ -109,7 +113,9 @@ def track_rows(cat: Catalog, releases: DataFrame | None = None) -> DataFrame:
     )
 
 
-def release_children(cat: Catalog, base: DataFrame, ids: DataFrame | None = None) -> dict[str, Child]:
+def release_children(
+    cat: Catalog, base: DataFrame, ids: DataFrame | None = None, placed: DataFrame | None = None
+) -> dict[str, Child]:
     """The lists of releases. ``ids``: row ids of the releases to keep, if they are restricted."""
     wanted = base if ids is None else ids.select(F.col("id").alias("row_id"))
     return {
@@ -119,7 +125,7 @@ def release_children(cat: Catalog, base: DataFrame, ids: DataFrame | None = None
         "Country": release_countries(cat, ids),
         **release_media(cat, ids),
         "Tracks": Child(
-            track_rows(cat, wanted),
+            track_rows(cat, wanted, placed),
             "release",
             F.col("track"),
             (F.col("track.mediumnumber"), F.col("track.trackposition"), F.col("track.id")),
@@ -127,11 +133,13 @@ def release_children(cat: Catalog, base: DataFrame, ids: DataFrame | None = None
     }
 
 
-def _based(cat: Catalog, group_ids: DataFrame | None, ids: DataFrame | None) -> tuple[DataFrame, dict[str, Child]]:
+def _based(
+    cat: Catalog, group_ids: DataFrame | None, ids: DataFrame | None, placed: DataFrame | None = None
+) -> tuple[DataFrame, dict[str, Child]]:
     base = release_base(cat, group_ids)
     if ids is None and group_ids is not None:
         ids = written(base.select(F.col("row_id").alias("id")))
-    return base, release_children(cat, base, ids)
+    return base, release_children(cat, base, ids, placed)
 
 
 def release_tables(cat: Catalog, group_ids: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -140,12 +148,15 @@ def release_tables(cat: Catalog, group_ids: DataFrame | None = None) -> dict[str
     return flat_tables(base, "row_id", children)
 
 
-def release_docs(cat: Catalog, group_ids: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+def release_docs(
+    cat: Catalog, group_ids: DataFrame | None = None, ids: DataFrame | None = None, placed: DataFrame | None = None
+) -> DataFrame:
     """Release documents with the release group's row id.
 
-    ``group_ids``: row ids of release groups to restrict to. ``ids``: the row ids of their releases, if the caller has them.
+    ``group_ids``: row ids of release groups to restrict to. ``ids``: the row ids of their releases, ``placed``: their
+    :func:`placed_tracks`, if the caller has them.
     """
-    base, children = _based(cat, group_ids, ids)
+    base, children = _based(cat, group_ids, ids, placed)
     docs = assemble(base, "row_id", children)
     return docs.select(
         "row_id",

@@ -117,6 +117,12 @@ def test_image_address_of_the_release(spark):
     assert url.endswith("/release/r100/8")
 
 
+def test_tracks_are_read_once(spark, imported):
+    assert any("/track/" in f for f in imported["track"].inputFiles())
+    docs = album_docs(imported)  # tracks have been read once and written with their releases
+    assert not any("/track/" in f for f in docs.inputFiles())
+
+
 def test_release_without_dates(spark):
     docs = release_docs(micro.catalog(spark, release_country=[], release_unknown_country=[]))
     assert [r[0] for r in docs.select("Releasedate").collect()] == [None, None]
