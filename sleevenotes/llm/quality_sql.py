@@ -1,8 +1,10 @@
-"""The quality rules in DuckDB SQL."""
+"""The quality rules in DuckDB SQL.
 
-from sleevenotes.llm.quality_rules import BUCKETS, MIN_WORDS, MULTIPLIERS, PSEUDO, THRESHOLD
+CRC-32 is folded over a list: each byte of the n-gram, then eight times -1 for the eight shifts.
+"""
+
+from sleevenotes.llm.quality_rules import BUCKETS, MIN_WORDS, PSEUDO, THRESHOLD
 
-A, B, C = MULTIPLIERS
 WORD = r"[^\x20\x09-\x0D]+"
 QUALITY_SQL = rf"""
 with d as (
@@ -21,19 +23,26 @@ with d as (
 ), good as (
   select distinct doc_id from labels where quality = 1
 ), grams as (
-  select rid, doc_id,
-         ((case when length(w[i]) > 1 then unicode(substr(w[i], length(w[i]) - 1, 1)) else 0 end) * {A}
-          + unicode(substr(w[i], length(w[i]), 1)) * {B} + unicode(substr(w[i + 1], 1, 1)) * {C}) % {BUCKETS} as bucket
-  from w, unnest(range(1, len(w))) as p(i)
+  select rid, doc_id, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as gram from w
+), hexed as (
+  select gram, hex(gram) as h from (select distinct gram from grams)
+), hashed as (
+  select gram, xor(4294967295, list_reduce(
+           [4294967295] || flatten([[strpos('0123456789ABCDEF', h[k]) * 16 + strpos('0123456789ABCDEF', h[k + 1]) - 17]
+                                    || [-1, -1, -1, -1, -1, -1, -1, -1] for k in range(1, len(h), 2)]),
+           lambda c, b: case when b >= 0 then xor(c, b) else xor(c >> 1, 3988292384 * (c & 1)) end)) % {BUCKETS} as bucket
+  from hexed
+), bucketed as (
+  select rid, doc_id, bucket from grams join hashed using (gram)
 ), counted as (
-  select bucket, count(*) as n, count(*) filter (doc_id in (select doc_id from good)) as t from grams group by bucket
+  select bucket, count(*) as n, count(*) filter (doc_id in (select doc_id from good)) as t from bucketed group by bucket
 ), shares as (
   select sum(t) / sum(n) as share from counted
 ), weights as (
   select bucket, case when share > 0 then ln((t + {PSEUDO} * share) / (n + {PSEUDO}) / share) else 0 end as weight
   from counted, shares
 ), scores as (
-  select rid, avg(weight) as score from grams join weights using (bucket) group by rid
+  select rid, avg(weight) as score from bucketed join weights using (bucket) group by rid
 ), base as (
   select w.rid, doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,

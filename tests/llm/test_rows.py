@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -23,9 +24,8 @@ AZ = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 def plain_quality(rows, trusted):
     def grams(text):
         w = WORD.findall(text or "")
-        for a, b in zip(w, w[1:]):
-            c = [ord(a[-2]) if len(a) > 1 else 0, ord(a[-1]), ord(b[0])]
-            yield sum(x * m for x, m in zip(c, quality_rules.MULTIPLIERS)) % quality_rules.BUCKETS
+        for gram in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
+            yield zlib.crc32(gram.encode()) % quality_rules.BUCKETS
 
     n, t = Counter(), Counter()
     for r in rows:
@@ -87,14 +87,26 @@ def test_trusted_ids_are_bounded_and_distinct(spark):
     assert len(some) == len(set(some)) and 400 < len(some) < 600
 
 
-def test_all_trusted_ids_count(spark, monkeypatch):
+def test_all_trusted_ids_count(spark):
     many = spark.range(50_000).selectExpr("id as doc_id", "1 as quality")
     assert quality_rules.trusted_ids(many).count() == 50_000
     docs = odd_documents(spark).select("doc_id", "text")
     labels = spark.createDataFrame([(k, 1) for k in (0, 1, 6, 20, 21, 22, 23, 24, 999)] * 2 + [(25, 0), (None, 1)], "doc_id int, quality int")
     whole = quality_rules.bucket_weights(docs, quality_rules.trusted_ids(labels))
-    monkeypatch.setattr(quality_rules, "BLOCK", 2)
-    assert quality_rules.bucket_weights(docs, quality_rules.trusted_ids(labels)) == whole and any(whole)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert quality_rules.bucket_weights(docs, quality_rules.trusted_ids(labels)) == whole and any(whole)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_junk_inside_words_is_rejected(spark):
+    rows = [(k, prose(k)) for k in range(40)]
+    junk = [(100 + k, " ".join(w if len(w) < 4 else f"{w[:1]}{zlib.crc32(f'{k}{w}'.encode()):x}zq{w[-1:]}" for w in prose(k).split())) for k in range(10)]
+    docs, trusted = texts(spark, rows + junk), spark.range(0, 40, 2).toDF("doc_id")
+    out = {r.doc_id for r in quality_rules.kept(docs, trusted).collect()}
+    assert out == set(range(40))
 
 
 # -- licences ----------------------------------------------------------------------------------------------------------
