@@ -46,17 +46,17 @@ NO_ID = 1 << 62
 # -- fingerprints --------------------------------------------------------------------------------------------------
 
 
-def shingle_hashes(text: Column) -> Callable[[DataFrame], DataFrame]:
+def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Callable[[DataFrame], DataFrame]:
     """Adds ``hashes``: XXH64 with seed 42 of each shingle."""
 
     def add(docs: DataFrame) -> DataFrame:
         split = docs.withColumn("_w", parts(ascii_lower(text), SPACES))
         n = F.size("_w")
         each = F.transform(
-            positions(n - SHINGLE + 1), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get("_w", i + k) for k in range(SHINGLE))))
+            positions(n - shingle + 1), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get("_w", i + k) for k in range(shingle))))
         )
         whole = F.when(n > 0, F.array(F.xxhash64(F.array_join("_w", " ")))).otherwise(F.array().cast("array<bigint>"))
-        return split.withColumn("hashes", F.when(n < SHINGLE, whole).otherwise(each)).drop("_w")
+        return split.withColumn("hashes", F.when(n < shingle, whole).otherwise(each)).drop("_w")
 
     return add
 
@@ -76,10 +76,15 @@ def majority_bits(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def id_or_stand_in(doc_id: Column, text_hash: Column) -> Column:
+    """The id, or for a missing one a number beyond all ids."""
+    return F.coalesce(doc_id.cast("long"), text_hash.bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, id (doc_id, or what stands for a missing one), text_hash and fingerprint (long) of each row."""
     text = F.coalesce("text", F.lit(""))
-    hashed = shingle_hashes(F.col("text"))(docs.select("doc_id", text.alias("text"))).select(
+    hashed = shingle_hashes(F.col("text"), shingle)(docs.select("doc_id", text.alias("text"))).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), "hashes"
     )
 
@@ -95,8 +100,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = hashed.mapInArrow(fold, f"doc_id {kind}, text_hash long, fingerprint long")
-    stand_in = F.col("text_hash").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
-    return out.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    return out.withColumn("id", id_or_stand_in(F.col("doc_id"), F.col("text_hash")))
 
 
 def hex_digits(fingerprint: Column) -> Column:
@@ -270,10 +274,10 @@ def spread_labels(groups: DataFrame, labels: DataFrame, folder: str) -> DataFram
             return now
 
 
-def components(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def components(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """id, text_hash, doc_id, fingerprint and label (the smallest id in the component) of each row."""
     folder = shared_folder(docs.sparkSession)
-    rows = written(fingerprints(docs), folder)
+    rows = written(fingerprints(docs, shingle), folder)
     distinct = written(rows.groupBy("fingerprint").agg(F.min("id").alias("label")), folder)
     n = distinct.count()
     if not n:
@@ -286,19 +290,18 @@ def components(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return rows.join(final, "fingerprint")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The first document of each component, with its own columns."""
     names = docs.columns
     plain = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
     doc_id, text = plain[f"c{names.index('doc_id')}"], plain[f"c{names.index('text')}"]
-    found = components(plain.select(doc_id.alias("doc_id"), text.alias("text")))
+    found = components(plain.select(doc_id.alias("doc_id"), text.alias("text")), shingle=shingle)
     first = written(
         found.filter("id = label").groupBy("id", "fingerprint", "label").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("times"))
         .groupBy("id").agg(F.min("text_hash").alias("text_hash"), F.sum("times").alias("times"))
     )
     hashed = plain.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit(""))))
-    stand_in = F.col("_h").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
-    keyed = hashed.withColumn("_id", F.coalesce(doc_id.cast("long"), stand_in))
+    keyed = hashed.withColumn("_id", id_or_stand_in(doc_id, F.col("_h")))
     kept = keyed.join(
         first.select(F.col("id").alias("_id"), F.col("text_hash").alias("_h")), ["_id", "_h"], "left_semi"
     )

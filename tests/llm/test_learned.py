@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs, chat repair against all repairs, and the learned operators on held-out rows."""
 
+import re
 import itertools
 import random
 from collections import Counter
@@ -30,6 +31,11 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def near_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def plain_components(points, bits=3):
     parent = list(range(len(points)))
 
