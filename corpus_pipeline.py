@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleevenotes.llm import decontaminate, language_crf, packing, quality_rules, simhash
+from sleevenotes.llm import decontaminate, language_crf, near_copies, packing, quality_rules
 from sleevenotes.llm.queries import TOKENIZER, table
 from sleevenotes.sources.work import shared_folder
 
@@ -32,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """The document with the smallest id of each group of near-duplicates: fingerprints of five-word shingles, then similarity 0.8."""
+    return near_copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
