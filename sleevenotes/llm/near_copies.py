@@ -5,9 +5,10 @@ almost equal (``simhash.one_of_each``, here on shingles of five words), and the
 smallest hashes of their shingles under ROWS multipliers, for one of BANDS such groups of multipliers. Texts of similarity s share at
 least one with probability 1 - (1 - s^5)^12, that is 0.99 at 0.8. Every candidate pair is then verified on the whole sets.
 
-No band lists its pairs. Its smallest document is the centre; the others are compared with it alone, and those that it does not hold go on to the
-next round, in which their band also has to agree in as many further smallest hashes as rounds have passed: texts that have little in common part
-quickly, copies stay together. It ends when no band has two documents left. A round's work is one row for each document and band still open.
+No band lists its pairs. In each round one of its documents, another each time, is the centre, and the others are compared with it alone, unless
+a link already gave them the centre's label. From the second round on the members of a band also have to agree in further smallest hashes, one more
+each round: texts that have little in common part quickly, copies stay together. A band is closed when all of it has one label. A round's work is
+one row for each document and band still open, and one comparison for those that no link holds yet.
 
 Defined cases: a text with fewer words than a shingle has its whole sequence as the one shingle, one without words has the empty set and is
 near no other; documents without an id count as later than all others; repeated rows and equal texts are copies. An empty table gives
@@ -60,62 +61,72 @@ def banded(docs: DataFrame) -> DataFrame:
             lists = batch.column("hashes")
             bounds = lists.offsets.to_numpy().astype(np.int64)
             values = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
-            keys = band_keys(values, bounds - bounds[0])
+            n, bounds = np.diff(bounds), bounds - bounds[0]
+            some = n > 0
+            keys = band_keys(values, np.append(bounds[:-1][some], bounds[-1]))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "key": pa.array(np.repeat(batch.column("key").to_numpy(), BANDS)),
-                    "n": pa.array(np.repeat(np.diff(bounds), BANDS)),
+                    "key": pa.array(np.repeat(batch.column("key").to_numpy()[some], BANDS)),
+                    "n": pa.array(np.repeat(n[some], BANDS)),
                     "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int64), len(keys))),
                     "part": pa.array(keys.ravel().view(np.int64)),
                 }
             )
 
-    return shingle_sets(docs).filter("size(hashes) > 0").mapInArrow(keyed, "key long, n long, band long, part long")
+    # a filter on the sets would go below their projection and make them again for each word
+    return shingle_sets(docs).mapInArrow(keyed, "key long, n long, band long, part long")
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """The rows of bands with two documents or more, with the band's smallest document: centre and its size."""
-    groups = rows.groupBy("band", "part").agg(F.min(F.struct("key", "n")).alias("least"), F.max("key").alias("most"))
-    wider = groups.filter("least.key < most").select("band", "part", F.col("least.key").alias("centre"), F.col("least.n").alias("centre_n"))
-    return rows.join(wider, ["band", "part"])
+def centred(rows: DataFrame, turn: int) -> DataFrame:
+    """The rows of bands with two labels or more, with this round's centre of the band: its key, size and label."""
+    order = F.xxhash64("key", "band", F.lit(turn)).alias("order")
+    groups = rows.groupBy("band", "part").agg(
+        F.min(F.struct(order, "key", "n", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    centres = groups.filter("low < high").select(
+        "band", "part", F.col("c.key").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.label").alias("centre_label")
+    )
+    return rows.join(centres, ["band", "part"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (key, centre), those of enough similarity."""
+    """Of the pairs (key, centre, and more), those of enough similarity."""
     one = pairs.join(sets, "key")
     other = sets.select(F.col("key").alias("centre"), F.col("hashes").alias("others"))
     common = F.size(F.array_intersect("hashes", "others"))
-    measured = one.join(other, "centre").select("key", "centre", common.alias("common"), (F.size("hashes") + F.size("others")).alias("sizes"))
-    return measured.filter(F.col("common") * (100 + PERCENT) >= F.col("sizes") * PERCENT).select("key", "centre")
+    sizes = F.size("hashes") + F.size("others")
+    measured = one.join(other, "centre").select(*pairs.columns, common.alias("common"), sizes.alias("sizes"))
+    return measured.filter(F.col("common") * (100 + PERCENT) >= F.col("sizes") * PERCENT).select(*pairs.columns)
 
 
 def further(sets: DataFrame, open_: DataFrame, turn: int) -> DataFrame:
     """key and more: ``turn`` further smallest hashes, of the documents still open."""
+
+    def smallest(seed: int) -> Column:
+        return F.array_min(F.transform("hashes", lambda h: F.xxhash64(h, F.lit(seed))))
+
     mine = sets.join(open_.select("key").distinct(), "key", "left_semi")
-    smallest = [F.array_min(F.transform("hashes", lambda h, s=turn * turn + k: F.xxhash64(h, F.lit(s)))) for k in range(turn)]
-    return mine.select("key", F.xxhash64(*smallest).alias("more"))
+    return mine.select("key", F.xxhash64(*(smallest(turn * turn + k) for k in range(turn))).alias("more"))
 
 
 def links(docs: DataFrame) -> DataFrame:
     """Pairs (key, centre) of near copies; ``docs``: key (unique, not null) and text."""
-    folder = shared_folder(docs.sparkSession)
-    open_ = written(shared(banded(docs)), folder)
+    folder, turn = shared_folder(docs.sparkSession), 0
+    open_ = written(centred(banded(docs).withColumn("label", F.col("key")), turn), folder)
     sets = written(shingle_sets(docs.join(open_.select("key").distinct(), "key", "left_semi")), folder)
-    found, turn = [], 0
+    found = docs.select("key", F.col("key").alias("centre")).limit(0)
     while not open_.isEmpty():
         bounded = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * PERCENT
-        pairs = open_.filter(F.col("key") != F.col("centre")).filter(bounded).select("key", "centre").distinct()
-        found.append(written(similar(pairs, sets), folder))
+        pairs = open_.filter(F.col("label") != F.col("centre_label")).filter(bounded)
+        low = F.least("label", "centre_label").alias("low")
+        linked = written(similar(pairs.groupBy("key", "centre").agg(F.min(low).alias("low")), sets), folder)
+        found = found.unionByName(linked.select("key", "centre"))
+        lower = linked.select(F.explode(F.array("key", "centre")).alias("key"), "low").groupBy("key").agg(F.min("low").alias("low"))
+        labelled = open_.join(lower, "key", "left").select("key", "n", "band", "part", F.coalesce("low", "label").alias("label"))
         turn += 1
-        rest = open_.filter(F.col("key") != F.col("centre")).join(found[-1], ["key", "centre"], "left_anti").select("key", "n", "band", "part")
-        left = written(rest, folder)
-        again = left.join(further(sets, left, turn), "key").select("key", "n", "band", F.xxhash64("part", "more").alias("part"))
-        open_ = written(shared(again), folder)
-    none = docs.select("key", F.col("key").alias("centre")).limit(0)
-    out = none
-    for pairs in found:
-        out = out.unionByName(pairs)
-    return out.distinct()
+        again = labelled.join(further(sets, open_, turn), "key").withColumn("part", F.xxhash64("part", "more")).drop("more")
+        open_ = written(centred(written(again, folder), turn), folder)
+    return found.distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Near-duplicates against all pairs, chat repair against all repairs, and the learned operators on held-out rows."""
 
-import re
 import itertools
 import random
+import re
 from collections import Counter
 
 import duckdb
