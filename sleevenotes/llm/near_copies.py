@@ -3,7 +3,7 @@
 Two texts of that similarity differ in about 10 of the 64 bits of their SimHash, too many for a tree to prune. So fingerprints link what is
 almost equal (``simhash.one_of_each``, here on shingles of five words), and the documents that it leaves are compared by their sets. Candidates share a band: the
 smallest hashes of their shingles under ROWS multipliers, for one of BANDS such groups of multipliers. Texts of similarity s share at
-least one with probability 1 - (1 - s^5)^12, that is 0.99 at 0.8. Every candidate pair is then verified on the whole sets.
+least one with probability 1 - (1 - s^5)^20, that is above 0.99 at 0.8. Every candidate pair is then verified on the whole sets.
 
 No band lists its pairs. In each round one of its documents, another each time, is the centre, and the others are compared with it alone, unless
 a link already gave them the centre's label. From the second round on the members of a band also have to agree in further smallest hashes, one more
@@ -29,7 +29,7 @@ from sleevenotes.sources.work import shared_folder, written
 
 SHINGLE = 5
 PERCENT = 80
-BANDS, ROWS = 12, 5
+BANDS, ROWS = 20, 5
 #: Odd multipliers of 64 bits, always the same ones.
 FACTORS = np.random.default_rng(5).integers(0, 1 << 63, size=(BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
