@@ -1,12 +1,12 @@
 """Near copies beyond the reach of fingerprints: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
 Two texts of that similarity differ in about 10 of the 64 bits of their SimHash, too many for a tree to prune. So fingerprints link what is
-almost equal (``simhash.one_of_each``, here on shingles of five words), and the documents that it leaves are compared by their sets. Candidates share a band: the
+almost equal (``simhash.components``, here on shingles of five words), and distinct texts of different components are compared by their sets. Candidates share a band: the
 smallest hashes of their shingles under ROWS multipliers, for one of BANDS such groups of multipliers. Texts of similarity s share at
 least one with probability 1 - (1 - s^5)^20, that is above 0.99 at 0.8. Every candidate pair is then verified on the whole sets.
 
 No band lists its pairs. In each round one of its documents, another each time, is the centre, and the others are compared with it alone, unless
-a link already gave them the centre's label. From the second round on the members of a band also have to agree in further smallest hashes, one more
+a link already gave them the centre's label (at first a component's by fingerprint). From the second round on the members of a band also have to agree in further smallest hashes, one more
 each round: texts that have little in common part quickly, copies stay together. A band is closed when all of it has one label. A round's work is
 one row for each document and band still open, and one comparison for those that no link holds yet.
 
@@ -109,11 +109,13 @@ def further(sets: DataFrame, open_: DataFrame, turn: int) -> DataFrame:
     return mine.select("key", F.xxhash64(*(smallest(turn * turn + k) for k in range(turn))).alias("more"))
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Pairs (key, centre) of near copies; ``docs``: key (unique, not null) and text."""
+def links(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (key, centre) of near copies; ``docs``: key (the same for equal texts) and text; ``labels``: key and label of each key once."""
     folder, turn = shared_folder(docs.sparkSession), 0
-    open_ = written(centred(banded(docs).withColumn("label", F.col("key")), turn), folder)
-    sets = written(shingle_sets(docs.join(open_.select("key").distinct(), "key", "left_semi")), folder)
+    rows = banded(docs).dropDuplicates(["key", "band"]).join(labels, "key")
+    open_ = written(centred(rows, turn), folder)
+    sets = shingle_sets(docs.join(open_.select("key").distinct(), "key", "left_semi")).dropDuplicates(["key"])
+    sets = written(sets, folder)
     found = docs.select("key", F.col("key").alias("centre")).limit(0)
     while not open_.isEmpty():
         bounded = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * PERCENT
@@ -129,25 +131,24 @@ def links(docs: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The first document of each group of near copies, with its own columns."""
-    names = docs.columns
-    first = written(simhash.one_of_each(docs, SHINGLE))
-    plain = first.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
-    doc_id, text = plain[f"c{names.index('doc_id')}"], plain[f"c{names.index('text')}"]
-    keyed = plain.withColumn("key", key_of(doc_id, text))
+def components(docs: DataFrame) -> DataFrame:
+    """As ``simhash.components``, with the smallest id in each group of near copies as the label; ``docs``: doc_id and text."""
     folder = shared_folder(docs.sparkSession)
-    pairs = written(links(keyed.select("key", text.alias("text"))), folder)
-    if pairs.isEmpty():
-        return first
-    # a pair is a group of two for the labels
-    members = pairs.select(F.struct("key", "centre").alias("group"), F.explode(F.array("key", "centre")).alias("fingerprint"))
+    rows = written(simhash.components(docs, shingle=SHINGLE), folder)
+    labels = written(rows.groupBy(F.col("text_hash").alias("key")).agg(F.min("label").alias("label")), folder)
+    text = F.coalesce("text", F.lit(""))
+    pairs = links(docs.select(F.xxhash64(text).alias("key"), text.alias("text")), labels)
+    centres = labels.select(F.col("key").alias("centre"), F.col("label").alias("other"))
+    joined = written(pairs.join(labels, "key").join(centres, "centre").filter("label != other").select("label", "other").distinct(), folder)
+    if joined.isEmpty():
+        return rows
+    # a pair of components is a group of two for the labels
+    members = joined.select(F.struct("label", "other").alias("group"), F.explode(F.array("label", "other")).alias("fingerprint"))
     start = members.select("fingerprint", F.col("fingerprint").alias("label")).distinct()
-    later = simhash.spread_labels(members, start, folder).filter("label < fingerprint").select(F.col("fingerprint").alias("key"))
-    kept = keyed.join(later, "key", "left_anti")
-    return kept.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
+    lowest = simhash.spread_labels(members, start, folder).select(F.col("fingerprint").alias("label"), F.col("label").alias("lowest"))
+    return rows.join(lowest, "label", "left").withColumn("label", F.coalesce("lowest", "label")).drop("lowest")
 
 
-def key_of(doc_id: Column, text: Column) -> Column:
-    """The id, or what stands for a missing one; unique where near copies by fingerprint have left one row each."""
-    return simhash.id_or_stand_in(doc_id, F.xxhash64(F.coalesce(text, F.lit(""))))
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The first document of each group of near copies, with its own columns."""
+    return simhash.one_of_each(docs, components)

@@ -290,14 +290,14 @@ def components(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> Dat
     return rows.join(final, "fingerprint")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The first document of each component, with its own columns."""
+def one_of_each(docs: DataFrame, found: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
+    """The first document of each component, with its own columns; ``found`` makes the components."""
     names = docs.columns
     plain = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
     doc_id, text = plain[f"c{names.index('doc_id')}"], plain[f"c{names.index('text')}"]
-    found = components(plain.select(doc_id.alias("doc_id"), text.alias("text")), shingle=shingle)
     first = written(
-        found.filter("id = label").groupBy("id", "fingerprint", "label").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("times"))
+        found(plain.select(doc_id.alias("doc_id"), text.alias("text")))
+        .filter("id = label").groupBy("id", "fingerprint", "label").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("times"))
         .groupBy("id").agg(F.min("text_hash").alias("text_hash"), F.sum("times").alias("times"))
     )
     hashed = plain.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit(""))))

@@ -62,7 +62,7 @@ def test_many_texts_around_one_passage_stay_apart(spark):
 def test_verified_pairs_are_similar(spark):
     rows = list(enumerate(planted(3, groups=10)))
     docs = texts(spark, rows).withColumnRenamed("doc_id", "key")
-    pairs = near_copies.links(docs).collect()
+    pairs = near_copies.links(docs, docs.selectExpr("key", "key as label")).collect()
     by = dict(rows)
     assert pairs and all(r.centre != r.key and jaccard(by[r.key], by[r.centre]) >= 0.8 for r in pairs)
 
