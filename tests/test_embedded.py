@@ -44,3 +44,17 @@ def test_fields_of_embedded_documents_are_those_of_the_whole_ones(spark, importe
     expected = {r.id: r for r in cut.collect()}
     found = {r.id: r for r in part.collect()}
     assert expected and found == expected
+
+
+def test_bases_are_written_without_moving_the_documents(spark, tmp_path):
+    from sleevenotes.sources.documents import DocumentStore
+
+    store = DocumentStore(spark, str(tmp_path), "id string, n long")
+    docs = spark.range(0, 1000, 1, 8).select(F.format_string("%06d", (F.col("id") * 37) % 1000).alias("id"), F.col("id").alias("n"))
+    store.write_base(docs)
+    assert len(list((tmp_path / "base=0").glob("*.parquet"))) == 8  # each task writes its own
+    held = spark.read.parquet(str(tmp_path / "base=0")).withColumn("file", F.input_file_name())
+    for file in held.select("file").distinct().collect():
+        ids = [r.id for r in held.filter(F.col("file") == file.file).select("id").collect()]
+        assert ids == sorted(ids)
+    assert store.current().count() == 1000
