@@ -7,8 +7,8 @@ under THRESHOLD are rejected, at every size of the corpus by the same number. Wi
 occurs once, in a document that is not trusted, weighs log(1/2); one that no trusted document holds falls further with each occurrence.
 
 All of it is column expressions within the row: one pass counts, one pass scores, and only bucket counts are shuffled. All trusted
-documents count; their ids meet the documents in one join, which the planner broadcasts if the written ids are small enough for the session
-and shuffles otherwise. The counts (BUCKETS rows at most, a parameter) are the only thing that reaches the driver.
+documents count; their ids meet the documents in one join, which sends up to IDS_IN_MEMORY ids to all machines and shuffles more of
+them. The counts (BUCKETS rows at most, a parameter) are the only thing that reaches the driver.
 
 Defined cases: a null or empty text has no words, all counts 0, score 0, base_failed and not kept. Without trusted documents, or without
 documents, all scores are 0. Repeated rows are judged each. Null ids are judged, but never trusted. All other columns are returned
@@ -29,6 +29,8 @@ BUCKETS = 1 << 17
 PSEUDO = 1.0
 THRESHOLD = -0.4
 MIN_WORDS = 50
+#: Trusted ids up to this number are sent to all machines (tens of MB); more meet the documents in a shuffle.
+IDS_IN_MEMORY = 1 << 21
 
 
 def trusted_ids(labels: DataFrame, most: int | None = None) -> DataFrame:
@@ -47,11 +49,18 @@ def _grams(words: Column) -> Column:
     return F.concat(F.transform(words, bucket), pairs)
 
 
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``(doc_id, text, trusted)``: 1 for trusted documents, else null."""
+    ids = trusted.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).filter("doc_id is not null").distinct()
+    ids = written(ids).withColumn("trusted", F.lit(1))
+    # texts are moved for this join only where the ids are too many for the memory of every task
+    ids = F.broadcast(ids) if ids.count() <= IDS_IN_MEMORY else ids
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left")
+
+
 def bucket_weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log(p_trusted / p_all) of each bucket."""
-    ids = trusted.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).filter("doc_id is not null").distinct()
-    marked = docs.select("doc_id", "text").join(written(ids).withColumn("trusted", F.lit(1)), "doc_id", "left")
-    split = marked.select("trusted", parts(F.col("text"), SPACES).alias("words"))
+    split = marked(docs, trusted).select("trusted", parts(F.col("text"), SPACES).alias("words"))
     counted = (
         split.select("trusted", F.explode(_grams(F.col("words"))).alias("bucket"))
         .groupBy("bucket")
