@@ -8,7 +8,8 @@ largest share of its letters, and that share is the score.
 
 The lexicon counts every word of every learning document (hashed into LEXICON buckets). Only the weights are fitted on a bounded
 sample: about SAMPLE distinct texts of each language, of longer ones a passage of SAMPLE_CHARS. Prediction reads whole texts, in Arrow batches:
-each distinct word of a batch is scored once, and documents of similar length go through forward-backward together.
+each distinct word of a batch is scored once, and documents of similar length go through forward-backward together. Texts are split and words
+weighed in portions, so that what a task holds of a batch besides its text and one code a word does not grow with it.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if there is nothing to learn from.
 Repeated rows get equal results. Documents without id, text or lang are not learned from. Ties go to the language that is first in
@@ -34,8 +35,9 @@ SAMPLE = 300
 SAMPLE_CHARS = 20_000
 SEQUENCES, WORDS_IN_SEQUENCE, BATCH, EPOCHS = 6_144, 48, 256, 3
 RATE = 0.2
-WORDS_AT_ONCE = 1_000_000
-TEXT_AT_ONCE = 24 << 20
+#: What is in memory at once: words in forward-backward, distinct words as features, text as words' codes, text while it is split.
+WORDS_AT_ONCE, DISTINCT_AT_ONCE = 250_000, 16_384
+TEXT_AT_ONCE, SPLIT_AT_ONCE = 24 << 20, 2 << 20
 
 
 def learned_from(doc_id: Column) -> Column:
@@ -56,11 +58,23 @@ class Words:
 
 
 def words_of(texts: pa.Array) -> Words:
+    parts = [_words_of(part) for (part,) in in_runs(texts, size=SPLIT_AT_ONCE)]
+    if len(parts) == 1:
+        return parts[0]
+    # each part has its own distinct words; together they are numbered anew
+    every = pa.concat_arrays([part.distinct for part in parts]).dictionary_encode()
+    number = every.indices.to_numpy().astype(np.int32)
+    last = np.cumsum([len(part.distinct) for part in parts])
+    codes = np.concatenate([number[b - len(part.distinct) : b][part.codes] for part, b in zip(parts, last, strict=True)])
+    return Words(every.dictionary, codes, np.concatenate([[0], np.cumsum(np.concatenate([np.diff(part.bounds) for part in parts]))]))
+
+
+def _words_of(texts: pa.Array) -> Words:
     spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[^\pL]+", " ")
     lists = pc.split_pattern(pc.utf8_trim(spaced, " "), " ")
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.flatten().dictionary_encode()
-    codes = flat.indices.to_numpy().astype(np.int64)
+    codes = flat.indices.to_numpy().astype(np.int32)
     empty = pc.index(flat.dictionary, "").as_py()  # of texts without letters
     ends = offsets[1:] - offsets[0]
     if empty >= 0:
@@ -112,9 +126,9 @@ class Model:
 
     def emissions(self, distinct: pa.Array) -> np.ndarray:
         out = np.zeros((len(distinct), len(self.labels)), np.float32)
-        for a in range(0, len(distinct), 65_536):
-            feats, starts, bucket = features_of(distinct.slice(a, 65_536))
-            out[a : a + 65_536] = np.add.reduceat(self.weights[feats], starts, axis=0) + self.lexicon_weight * self.lexicon[bucket]
+        for a in range(0, len(distinct), DISTINCT_AT_ONCE):
+            feats, starts, bucket = features_of(distinct.slice(a, DISTINCT_AT_ONCE))
+            out[a : a + DISTINCT_AT_ONCE] = np.add.reduceat(self.weights[feats], starts, axis=0) + self.lexicon_weight * self.lexicon[bucket]
         return out
 
 
@@ -123,25 +137,33 @@ def _normed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows / total, total
 
 
-def word_marginals(model: Model, scores: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Each word's distribution over the labels, given its whole document (forward-backward)."""
+def word_marginals(
+    model: Model, scores: np.ndarray, codes: np.ndarray, bounds: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each word's distribution over the labels, given its whole document (forward-backward), for some whole documents at a time.
+
+    With them come the documents, where the words of each begin, and the places of all these words in ``codes``.
+    """
     step = np.exp(model.transitions).astype(np.float32)
     odds = np.exp(scores - scores.max(axis=1, keepdims=True))
     n = np.diff(bounds)
     order = np.argsort(-n, kind="stable")
     order = order[n[order] > 0]
-    out = np.zeros((len(codes), len(model.labels)), np.float32)
     at = 0
     while at < len(order):
         own = max(1, int(np.searchsorted(np.cumsum(n[order[at:]]), WORDS_AT_ONCE, side="right")))
         docs = order[at : at + own]
         at += own
-        first, size = bounds[docs], n[docs]
+        size = n[docs]
+        first = np.cumsum(size) - size
+        places = np.repeat(bounds[docs] - first, size) + np.arange(size.sum())
+        own_codes = codes[places]
+        out = np.empty((len(places), len(model.labels)), np.float32)
         active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # documents with more than t words
         alpha = None
         for t in range(size[0]):
             here = first[: active[t]] + t
-            e = odds[codes[here]]
+            e = odds[own_codes[here]]
             alpha = e * np.exp(model.start) if t == 0 else e * (alpha[: active[t]] @ step)
             alpha = _normed(alpha)[0]
             out[here] = alpha
@@ -152,27 +174,32 @@ def word_marginals(model: Model, scores: np.ndarray, codes: np.ndarray, bounds:
                 beta = np.concatenate([beta, np.ones((k - len(beta), beta.shape[1]), np.float32)])
             here = first[:k] + t
             out[here] = _normed(out[here] * beta)[0]
-            beta = _normed((odds[codes[here]] * beta) @ step.T)[0]
-    return out
+            beta = _normed((odds[own_codes[here]] * beta) @ step.T)[0]
+        yield docs, first, places, out
 
 
-def document_labels(model: Model, texts: pa.Array) -> tuple[pa.Array, np.ndarray, list[list[str]] | None]:
-    """Language and score of each text, and the language of each of its words."""
+def document_labels(model: Model, texts: pa.Array, with_words: bool = False) -> tuple[pa.Array, np.ndarray, list[list[str]] | None]:
+    """Language and score of each text; with_words: and the language of each of its words."""
     words = words_of(texts)
     labels = pa.array([*model.labels, UNKNOWN])
     n, k = len(words.bounds) - 1, len(model.labels)
     if not k or not len(words.codes):
-        return labels.take(pa.array(np.full(n, k))), np.zeros(n), [[] for _ in range(n)]
-    marginals = word_marginals(model, model.emissions(words.distinct), words.codes, words.bounds)
-    letters = pc.utf8_length(words.distinct).to_numpy(zero_copy_only=False)[words.codes].astype(np.float64)
-    full = np.flatnonzero(np.diff(words.bounds) > 0)
-    share = np.zeros((n, k))
-    share[full] = np.add.reduceat(marginals * letters[:, None], words.bounds[full], axis=0)
+        return labels.take(pa.array(np.full(n, k))), np.zeros(n), [[] for _ in range(n)] if with_words else None
+    letters = pc.utf8_length(words.distinct).to_numpy(zero_copy_only=False).astype(np.float64)
+    share, of_word = np.zeros((n, k)), np.zeros(len(words.codes) if with_words else 0, np.int32)
+    for docs, first, places, marginals in word_marginals(model, model.emissions(words.distinct), words.codes, words.bounds):
+        share[docs] = np.add.reduceat(marginals * letters[words.codes[places], None], first, axis=0)
+        if with_words:
+            of_word[places] = marginals.argmax(axis=1)
     best = share.argmax(axis=1)
     total = share.sum(axis=1)
     score = np.divide(share.max(axis=1), total, out=np.zeros(n), where=total > 0)
     best[total == 0] = k
-    return labels.take(pa.array(best)), np.clip(score, 0.0, 1.0), (marginals, words)
+    per_word = None
+    if with_words:
+        named = [model.labels[j] for j in of_word]
+        per_word = [named[a:b] for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+    return labels.take(pa.array(best)), np.clip(score, 0.0, 1.0), per_word
 
 
 # -- learning ------------------------------------------------------------------------------------------------------
@@ -187,7 +214,10 @@ def lexicon_counts(learning: DataFrame) -> DataFrame:
             for texts, langs in in_runs(batch.column("text"), batch.column("lang")):
                 words = words_of(texts)
                 bucket = np.concatenate(
-                    [np.zeros(0, np.int64), *(features_of(words.distinct.slice(a, 65_536))[2] for a in range(0, len(words.distinct), 65_536))]
+                    [
+                        np.zeros(0, np.int64),
+                        *(features_of(words.distinct.slice(a, DISTINCT_AT_ONCE))[2] for a in range(0, len(words.distinct), DISTINCT_AT_ONCE)),
+                    ]
                 )
                 coded = langs.dictionary_encode()
                 of_word = np.repeat(coded.indices.to_numpy(), np.diff(words.bounds))
@@ -202,13 +232,14 @@ def lexicon_counts(learning: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def in_runs(texts: pa.Array, *more: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
-    """The arrays in runs of at most TEXT_AT_ONCE bytes of text, up to a text."""
+def in_runs(texts: pa.Array, *more: pa.Array, size: int | None = None) -> Iterator[tuple[pa.Array, ...]]:
+    """The arrays in runs of at most ``size`` (or TEXT_AT_ONCE) bytes of text, up to a text; no texts are one run."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     total = int(sizes[-1]) if len(sizes) else 0
-    runs = total // TEXT_AT_ONCE + 1
+    runs = total // (size or TEXT_AT_ONCE) + 1
     cuts = np.searchsorted(sizes, total * np.arange(1, runs) // runs, side="right")
     bounds = np.unique(np.concatenate([[0], cuts, [len(texts)]]))
+    bounds = bounds if len(texts) else [0, 0]
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         yield tuple(x.slice(a, b - a) for x in (texts, *more))
 
@@ -320,15 +351,10 @@ def predicted(docs: DataFrame, model: Model, with_words: bool = False) -> DataFr
         for batch in batches:
             langs, scores, per_word = [], [], []
             for (texts,) in in_runs(batch.column(text)):
-                lang, score, found = document_labels(model, texts)
+                lang, score, found = document_labels(model, texts, with_words)
                 langs.append(lang)
                 scores.append(score)
-                if with_words and isinstance(found, tuple):
-                    marginals, words = found
-                    best = [model.labels[j] for j in marginals.argmax(axis=1)]
-                    per_word += [best[a:b] for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
-                elif with_words:
-                    per_word += found
+                per_word += found or []
             columns = [*batch.columns, pa.concat_arrays(langs), pa.array(np.concatenate(scores))]
             fields = [*own, "lang_pred", "score"]
             if with_words:
