@@ -6,6 +6,9 @@ distinct tokens only, by equi join on shared pieces (see :func:`similar_tokens`)
 Ranking has two phases. The first needs only which document has which token: it gives all measures but the distance of words, and bounds
 for that. Documents that cannot reach the wanted rank under the best of their bounds, as enough others are ahead of them under the worst of
 theirs, are dropped before any position is read (see :func:`candidates`).
+
+Documents that are alike in all that a table of queries can read of them get the same measures, so only one of them is measured, and only the
+first of them by the tie fields can be hits (see :func:`alike`).
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from ..sources.work import written
 
 # Fixed values of the ranking: word break, lengths from which one and two typos pass, distance of words apart.
-WORD_BREAK = r"[^\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]+"
 ONE_TYPO_LENGTH = 5
 TWO_TYPOS_LENGTH = 9
 APART = 8
@@ -36,7 +39,8 @@ class Typos:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda t: t != "")
+    # unlike split(), this compiles its pattern once and not for every text
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
 def postings(docs: DataFrame, searchable: tuple[str, ...]) -> DataFrame:
@@ -144,7 +148,12 @@ def write_index(docs: DataFrame, searchable: tuple[str, ...], tie_breaks: tuple[
     Postings and holders are laid out by token and document, so a query reads few row groups, and a token with very many postings
     spans several files instead of making one huge one. Pieces are laid out by piece.
     """
-    words, spark = postings(docs, searchable), docs.sparkSession
+    spark = docs.sparkSession
+    roots, texts = (sorted({f.split(".")[0] for f in fields}) for fields in (tie_breaks, searchable))
+    # the documents are made once, for both parts of the index and for the sample that lays the postings out
+    docs = written(docs.select("id", *sorted({*roots, *texts})))
+    docs.select("id", *roots).write.mode("overwrite").parquet(f"{path}/documents")
+    words = postings(docs, searchable)
     laid_out = words.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
     laid_out.write.mode("overwrite").parquet(f"{path}/postings")
     stored = spark.read.schema(words.schema).parquet(f"{path}/postings")
@@ -153,8 +162,6 @@ def write_index(docs: DataFrame, searchable: tuple[str, ...], tie_breaks: tuple[
     vocabulary = spark.read.schema(holding.schema).parquet(f"{path}/holders").select("token").distinct()
     cut = token_pieces(vocabulary, typos)
     cut.repartitionByRange("piece", "n").sortWithinPartitions("piece", "n").write.mode("overwrite").parquet(f"{path}/pieces")
-    roots = sorted({t.split(".")[0] for t in tie_breaks})
-    docs.select("id", *roots).write.mode("overwrite").parquet(f"{path}/documents")
 
 
 def read_index(spark: SparkSession, path: str, typos: Typos = Typos()) -> Index:
@@ -215,6 +222,19 @@ def candidates(found: DataFrame, limit: int) -> DataFrame:
     return found.join(cuts, "query_id").filter((F.col("n") < limit) | (best <= F.col("cut"))).drop("cut", "n")
 
 
+def alike(words: DataFrame) -> DataFrame:
+    """``(doc_id, like)``: documents with the same ``like`` have the same measures for every query that reads these postings alone.
+
+    What counts of a document is which words its values have, how far apart, and the rank of each value's field; which of several alike values
+    it is, and where in the value its words begin, does not. ``like`` is the SHA-256 of that. One shuffle, by document, serves both aggregates.
+    """
+    values = words.repartition("doc_id").groupBy("doc_id", "attr_rank", "item").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("w"))
+    shifted = F.transform("w", lambda x: F.struct((x["pos"] - F.col("w")[0]["pos"]).alias("pos"), x["token"].alias("token")))
+    read = values.select("doc_id", F.struct("attr_rank", shifted.alias("w")).alias("value"))
+    whole = read.groupBy("doc_id").agg(F.sort_array(F.collect_set("value")).alias("read"))
+    return whole.select("doc_id", F.sha2(F.to_json(F.struct("read")), 256).alias("like"))
+
+
 def closeness(matched: DataFrame, index: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(query_id, doc_id, closer)`` of the wanted ``(query_id, doc_id)``: by how much neighbouring words are nearer than APART.
 
@@ -260,27 +280,32 @@ def search_batch(
 ) -> DataFrame:
     """The best ``limit`` documents of each query, with their measures and ``rank``.
 
-    Spark keeps at most ``limit`` rows per query and task before the ranking shuffle, so a query that matches a third
-    of all documents does not meet in one task.
+    Of documents that are :func:`alike` only the first is measured, and the first ``limit`` by the tie fields are ranked; Spark keeps at most so
+    many per kind and task before a shuffle. So the pairs of queries and documents grow with the kinds of documents, not with their number.
     """
     matched = written(matched_terms(index, queries))
-    found = written(candidates(measures(matched, index.holders), limit))
+    words = index.postings.join(matched.select("token").distinct(), "token", "left_semi")
     keys = [f"tie_{i}" for i in range(len(tie_breaks))]
     ties = index.documents.select(
         F.col("id").alias("doc_id"), *[F.col(t).alias(k) for t, k in zip(tie_breaks, keys)]
     )
+    among_equals = [*[F.col(k).desc_nulls_last() for k in keys], F.col("doc_id").asc()]
     order = [
         F.col("words").desc(),
         F.col("typo").asc(),
         F.col("proximity").asc(),
         F.col("attribute").asc(),
         F.col("exactness").desc(),
-        *[F.col(k).desc_nulls_last() for k in keys],
-        F.col("doc_id").asc(),
+        *among_equals,
     ]
+    of_kind = F.row_number().over(Window.partitionBy("like").orderBy(*among_equals))
+    first = written(alike(words).join(ties, "doc_id").withColumn("place", of_kind).filter(F.col("place") <= limit))
+    measured = first.filter("place = 1").select("doc_id", "like")
+    words = written(words.join(measured.select("doc_id"), "doc_id", "left_semi"))
+    found = written(candidates(measures(matched, holders(words)), limit))
+    scored = with_proximity(found, matched, words).join(measured, "doc_id").drop("doc_id").join(first.drop("place"), "like")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    scored = with_proximity(found, matched, index.postings)
-    ranked = scored.join(ties, "doc_id").withColumn("rank", place).filter(F.col("rank") <= limit)
+    ranked = scored.withColumn("rank", place).filter(F.col("rank") <= limit)
     return ranked.select(
         "query_id", "rank", "doc_id", "words", "typo", "proximity", "attribute", "exactness",
         *[F.col(k).alias(t.split(".")[-1].lower()) for t, k in zip(tie_breaks, keys)],
