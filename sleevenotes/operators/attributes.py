@@ -24,11 +24,13 @@ def attribute_rows(entity: object, cat: Catalog) -> DataFrame:
     entries = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in scalars))
     parts = [base.select(F.inline(entries), F.col("id").alias("gid"))]
     ids = base.select("row_id", F.col("id").alias("gid"))
-    members = [
-        lists[f].select(F.lit(f).alias("field"), "value", "row_id") for f in entity.filterable if f not in scalars
-    ]
-    if members:
-        parts.append(reduce(DataFrame.unionByName, members).distinct().join(ids, "row_id").select("field", "value", "gid"))
+    members = {f: lists[f].select(F.lit(f).alias("field"), "value", "row_id") for f in entity.filterable if f not in scalars}
+    # lists without repeats, the longest ones, do not go through the hash maps and the shuffle that make the others distinct
+    kinds = [[rows for f, rows in members.items() if (f in entity.unrepeated) == known] for known in (False, True)]
+    rows = [reduce(DataFrame.unionByName, k) for k in kinds if k]
+    if rows:
+        rows[0] = rows[0].distinct() if kinds[0] else rows[0]
+        parts.append(reduce(DataFrame.unionByName, rows).join(ids, "row_id").select("field", "value", "gid"))
     return reduce(DataFrame.unionByName, parts).filter("value is not null")
 
 

@@ -23,7 +23,7 @@ class Entity:
     """A document family: its table, how its documents are built (nested, their scalars, flat), and how they are searched.
 
     ``searchable``: document fields in order of weight. ``tie_breaks``: fields that order hits alike in all text
-    measures, greatest first.
+    measures, greatest first. ``unrepeated``: lists that are made distinct by the ids of what they name, so that no member comes twice.
     """
 
     name: str
@@ -34,6 +34,7 @@ class Entity:
     searchable: tuple[str, ...]
     filterable: tuple[str, ...]
     tie_breaks: tuple[str, ...]
+    unrepeated: tuple[str, ...] = ()
 
 
 ARTIST = Entity(
@@ -56,6 +57,7 @@ ALBUM = Entity(
     searchable=("title", "aliases", "artists.artistname"),
     filterable=("id", "oldids", "genres", "type", "artistid", "artistids"),
     tie_breaks=("rating.Value", "releasedate"),
+    unrepeated=("artistids",),
 )
 ENTITIES = (ARTIST, ALBUM)
 
