@@ -138,8 +138,13 @@ def album_docs(
     wanted = release_ids = None
     if ids is not None:
         release_ids = written(within(cat["release"].select("id", "release_group"), "release_group", ids).select("id"))
-    unread = [c for c, f in TRACK_TEXTS.items() if f not in fields.get("Tracks", TRACK_TEXTS.values())]
-    placed = written(placed_tracks(cat, release_ids, "id").drop(*unread))  # tracks are read once, for artists and for releases
+    own = None if "Releases" not in fields else {"Id", *fields["Releases"]}
+    placed = placed_tracks(cat, release_ids, "id")
+    if own is None or "Tracks" in own:
+        unread = [c for c, f in TRACK_TEXTS.items() if f not in fields.get("Tracks", TRACK_TEXTS.values())]
+        placed = listed = written(placed.drop(*unread))  # tracks are read once, for artists and for releases
+    else:
+        listed = None  # no release lists its tracks: they are read for the artists alone
     artists = written(group_artists(cat, ids, placed))  # feeds two lists
     if ids is not None:
         wanted = written(artists.select(F.col("artist_id").alias("id")).distinct())
@@ -149,8 +154,7 @@ def album_docs(
     # the pairs are narrow and the documents that join them wide: spread them first, not by the size of the pairs
     pairs = artists.select("release_group", F.col("artist_id").alias("row_id")).repartition("release_group", "row_id")
     embedded = pairs.join(light.select("row_id", light_doc.alias("artist")), "row_id")
-    own = None if "Releases" not in fields else {"Id", *fields["Releases"]}
-    releases = release_docs(cat, ids, release_ids, placed, own, fields.get("Tracks"))
+    releases = release_docs(cat, ids, release_ids, listed, own, fields.get("Tracks"))
     types = {n: t for n, t in fields_of(RELEASE).items() if n in releases.columns}
     if "Tracks" in fields:
         types.pop("Tracks", None)  # as its rows are made: of the fields asked for
