@@ -69,13 +69,18 @@ def release_media(cat: Catalog, ids: DataFrame | None = None) -> dict[str, Child
     }
 
 
-def placed_tracks(cat: Catalog, releases: DataFrame | None = None, column: str = "row_id") -> DataFrame:
+def placed_tracks(cat: Catalog, releases: DataFrame | None = None, column: str = "row_id", by_gid: bool = False) -> DataFrame:
     """All tracks with the release and the number of their medium, in one pass over tracks and media.
 
     ``releases``: frame with the ids of the releases to keep; applied to media before the track scan's first shuffle.
+    ``by_gid``: the release is its gid instead of its row id; the media, which are fewer and narrower, meet the releases for it.
     """
     media = cat["medium"].select(F.col("id").alias("medium"), "release", F.col("position").alias("mediumnumber"))
-    return cat["track"].join(within(media, "release", releases, column), "medium").drop("medium")
+    media = within(media, "release", releases, column)
+    if by_gid:
+        media = media.join(cat["release"].select(F.col("id").alias("release"), "gid"), "release")
+        media = media.select("medium", F.col("gid").alias("release"), "mediumnumber")
+    return cat["track"].join(media, "medium").drop("medium")
 
 
 #: Columns of tracks that serve one field of theirs alone.
@@ -110,10 +115,12 @@ def track_rows(
         "trackposition": F.col("position"),
     }
     track = F.struct(*[values.get(n, F.col(n)).cast(t).alias(n) for n, t in wanted.items()])
-    rows = placed.filter("is_data_track = false").join(lead, "artist_credit").join(recordings, "recording")
+    # every join may move all tracks: those that make them wider come last
+    rows = placed.filter("is_data_track = false")
     if "oldids" in wanted:
         old_tracks = list_per_key(redirects(cat["track_gid_redirect"]), "oldids")
         rows = rows.join(old_tracks.withColumnRenamed("new_id", "id"), "id", "left")
+    rows = rows.join(lead, "artist_credit").join(recordings, "recording")
     return rows.select("release", track.alias("track"))
 
 
