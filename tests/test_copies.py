@@ -71,3 +71,13 @@ def test_empty_stores_read_no_table(spark, tmp_path):
     for entity in (entry.ARTIST, entry.ALBUM):
         made = entity.build(micro.catalog(spark))
         assert stores[entity.name].schema == ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema.fields)
+
+
+def test_contents_of_albums_make_the_documents_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    found = entry.album_contents(micro.catalog(spark))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(Tracks") == 1
+    rows = found.groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in rows} == {"track": 2, "medium": 1, "artist": 3}
